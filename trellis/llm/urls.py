@@ -65,11 +65,11 @@ def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """url, bad (1 or 0): every name at two shapes of url, languages and numbers taken in turn."""
+    """url, bad (1 or 0): every name at every shape of url, languages and numbers taken in turn."""
     urls = []
     for bad, names in ((1, BLOCKED.split()), (0, ALLOWED.split())):
         for k, name in enumerate(names):
-            urls += [(SHAPES[(k + j) % len(SHAPES)].format(name, LANGUAGES[(k // len(SHAPES) + j) % len(LANGUAGES)], 37 * k * k % 9973 + j), bad) for j in range(2)]
+            urls += [(SHAPES[(k + j) % len(SHAPES)].format(name, LANGUAGES[(k // len(SHAPES) + j) % len(LANGUAGES)], 37 * k * k % 9973 + j), bad) for j in range(len(SHAPES))]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {bad})" for u, bad in urls) + " AS t(url, bad)")
 
 
