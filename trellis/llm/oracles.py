@@ -70,4 +70,31 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN q IS NOT NULL AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM summed
 """
 
-ORACLES: dict[str, str] = {"op5_host_rules": OP5, "op6_pareto_mix": OP6}
+OP4 = """
+WITH q AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      (('0x' || substr(hex || '0', 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op4_impact_topk": OP4, "op8_warc_zstd": OP8, "op5_host_rules": OP5, "op6_pareto_mix": OP6}
