@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Java and RE2 read this alike.
 SPACE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -34,7 +35,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and rereads it: lineage ends there, later jobs survive lost
     executors, and the table's true size is known to the planner (which alone decides on broadcasts)."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # its shuffle files are of no more use once the table is written
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

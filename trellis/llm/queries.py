@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -48,6 +49,13 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import without_repeats
+
+    done = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_impact_topk": op4_impact_topk,
     "op5_host_rules": op5_host_rules,
     "op6_pareto_mix": op6_pareto_mix,
+    "op7_suffix_runs": op7_suffix_runs,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_url_filter": op9_url_filter,
     "op10_linear_grouping": op10_linear_grouping,
