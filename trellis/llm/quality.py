@@ -87,8 +87,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    measured = measure(docs, [f"struct(*) AS _row"])
-    slim = stash(measured.drop("_row"), "measured")
-    hosts = stash(host_verdicts(slim), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
+    # written with their rows: a filter on measurements would else be pushed into them and evaluated over and over
+    measured = stash(measure(docs, ["struct(*) AS _row"]), "measured")
+    hosts = stash(host_verdicts(measured.drop("_row")), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
     passed = measured.where(~F.col("base_failed")).select("source", "_row")
     return passed.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
