@@ -14,8 +14,8 @@ Every byte that lies in a string of ``LENGTH`` bytes which also starts somewhere
    contenders are known to share with the last winner. It hands on each suffix with the length of the
    prefix that it shares with its predecessor; suffixes of one anchor string come side by side.
 5. Among these, a window is repeated where another suffix agrees for all of its bytes from the anchor on
-   (the least shared prefix in between) and before it. That gives each distinct suffix the ranges that it
-   loses, and occurrences get them by the suffix's digest.
+   (the least shared prefix in between) and before it. That gives each distinct suffix the one range
+   that it loses, and occurrences get it by the suffix's digest.
 
 An anchor string with more than ``HOT`` occurrences (a line in a third of all documents) would meet in one
 task: its suffixes go another exact way, in which their windows' digests are counted as rows.
@@ -244,9 +244,10 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
     yield tuple(held)
 
 
-def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(place in the group, ranges of bytes relative to the anchor that repeated windows cover) for the
-    suffixes of one anchor string, in order. The window of offset k starts k bytes before the anchor."""
+def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+    """(place in the group, from, to) for the suffixes of one anchor string, in order: the bytes, relative to
+    the anchor, that repeated windows cover. They are one range, as every window holds the anchor. The window
+    of offset k starts k bytes before the anchor."""
     backs = [text[ahead:] for text, ahead, _, _ in group]
     spans = [(length - ahead, len(back)) for (_, ahead, _, _), back in zip(group, backs)]
     if len(group) == 2 and group[0][2] == group[1][2] == 1:
@@ -254,10 +255,11 @@ def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) ->
         behind = shared_prefix(*backs, 0)
         a, b = max(length - ahead, spans[0][0], spans[1][0]), min(behind, spans[0][1], spans[1][1])
         if a <= b:
-            yield from ((i, [(-b, length - a)]) for i in (0, 1))
+            yield from ((i, -b, length - a) for i in (0, 1))
         return
-    hits: list[list[tuple[int, int]]] = [[(a, b)] if entry[2] > 1 else [] for entry, (a, b) in zip(group, spans)]
-    if len(group) > 1 and any(not h for h in hits):
+    # least and greatest offset of a repeated window; a suffix that occurs twice loses all of its windows
+    hits: list[tuple[int, int] | None] = [span if entry[2] > 1 else None for entry, span in zip(group, spans)]
+    if len(group) > 1 and not all(hits):
         for k in range(min(a for a, _ in spans), max(b for _, b in spans) + 1):
             alike, part = defaultdict(list), 0
             for i, (a, b) in enumerate(spans):
@@ -269,13 +271,8 @@ def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) ->
                 if len(those) > 1:
                     for i in those:
                         if group[i][2] == 1:
-                            if hits[i] and hits[i][-1][1] == k - 1:
-                                hits[i][-1] = (hits[i][-1][0], k)
-                            else:
-                                hits[i].append((k, k))
-    for i, ranges in enumerate(hits):
-        if ranges:
-            yield i, [(-b, length - a) for a, b in ranges]
+                            hits[i] = (hits[i][0] if hits[i] else k, k)
+    yield from ((i, -hit[1], length - hit[0]) for i, hit in enumerate(hits) if hit)
 
 
 def digest_of(text: bytes, ahead: int) -> bytes:
@@ -342,12 +339,10 @@ def _merge(table: pa.Table) -> pa.Table:
     ids, starts, stops, group = [], [], [], []
 
     def close() -> None:
-        for i, ranges in repeated(group):
-            text, ahead, _, _ = group[i]
-            for a, b in ranges:
-                ids.append(digest_of(text, ahead))
-                starts.append(a)
-                stops.append(b)
+        for i, a, b in repeated(group):
+            ids.append(digest_of(*group[i][:2]))
+            starts.append(a)
+            stops.append(b)
 
     for entry in merged([Run(r.as_py()) for r in table.column("run")]):
         if group and entry[3] < GRAM:
@@ -380,7 +375,7 @@ def lost_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lost = sorted_.where("kind = 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge, "id binary, `from` int, `to` int")
     windows = sorted_.where("kind = 2").select("run", "id", "k", "weight")
     again = windows.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run")
-    crowded = windows.join(again, "run", "left_semi").select("id", (-F.col("k")).alias("from"), (LENGTH - F.col("k")).alias("to")).distinct()
+    crowded = windows.join(again, "run", "left_semi").groupBy("id").agg((-F.max("k")).alias("from"), (LENGTH - F.min("k")).alias("to"))
     lost = stash(lost.unionByName(crowded), "lost")
     places = sorted_.where("kind = 1").select("_key", "place", "id")
     ranges = places.join(lost, "id").select("_key", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to")).distinct()
