@@ -161,20 +161,20 @@ def expand_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL}, sym AS (SELECT src_id AS cur, dst_id AS nb, edge_id FROM edges WHERE rel_type IN ('located_in', 'from') UNION ALL SELECT dst_id, src_id, edge_id FROM edges WHERE rel_type IN ('located_in', 'from')),
 t1 AS (SELECT nb, ['region:1', nb] AS path, [edge_id] AS ep, 1 AS length FROM sym WHERE cur = 'region:1'),
 t2 AS (SELECT b.nb, list_append(path, b.nb) AS path, list_append(ep, b.edge_id) AS ep, 2 AS length FROM t1 JOIN sym b ON b.cur = t1.nb WHERE NOT list_contains(ep, b.edge_id))
-SELECT array_to_string(path, '>') AS path, length::INT AS length FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) ORDER BY length, t1.path, ep LIMIT 60""".replace("t1.path", "path"))
+SELECT array_to_string(path, '>') AS path, length::INT AS length FROM (SELECT * FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) AS t ORDER BY t.length, t.path, t.ep LIMIT 60)""")
 def neighbourhood_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir, ("located_in", "from"))
     found, _ = G.neighbourhood(e, spark.range(1).select(F.lit("region:1").alias("id")), 2, 60)
     return found.select(F.array_join("path", ">").alias("path"), "length")
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, sym AS (SELECT src_id AS cur, dst_id AS nb, edge_id FROM edges WHERE rel_type IN ('located_in', 'from', 'placed') UNION ALL SELECT dst_id, src_id, edge_id FROM edges WHERE rel_type IN ('located_in', 'from', 'placed')),
-walk AS (SELECT 'customer:7' AS cur, ['customer:7'] AS path, []::VARCHAR[] AS ep UNION ALL
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, sym AS (SELECT src_id AS cur, dst_id AS nb, edge_id FROM edges WHERE rel_type IN ('contains', 'supplied_by') UNION ALL SELECT dst_id, src_id, edge_id FROM edges WHERE rel_type IN ('contains', 'supplied_by')),
+walk AS (SELECT 'part:1' AS cur, ['part:1'] AS path, []::VARCHAR[] AS ep UNION ALL
   SELECT b.nb, list_append(path, b.nb), list_append(ep, b.edge_id) FROM walk w JOIN sym b ON b.cur = w.cur WHERE len(ep) < 4 AND NOT list_contains(ep, b.edge_id))
-SELECT array_to_string(path, '>') AS path, len(ep)::INT AS length FROM walk WHERE cur = 'customer:8' AND len(ep) > 0""")
+SELECT array_to_string(path, '>') AS path, len(ep)::INT AS length FROM walk WHERE cur = 'part:2' AND len(ep) > 0""")
 def find_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, ("located_in", "from", "placed"))
-    return G.find_paths(e, "customer:7", "customer:8", 4).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
+    e = edges(spark, sf_dir, ("contains", "supplied_by"))
+    return G.find_paths(e, "part:1", "part:2", 4).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b, count(*) AS n_edges, string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) AS rel_types FROM edges GROUP BY ALL""")
