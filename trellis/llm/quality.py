@@ -40,7 +40,9 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source and the measurements of each whole text; ``keep``: further expressions to carry.
 
     Words that lie in a repeated five-word window are found inside the row: 64-bit hashes of all windows are
-    built from word hashes; only where some hash occurs twice are they sorted with their places.
+    built from word hashes; only where some hash occurs twice are they sorted with their places. A filter on
+    the measurements should also ask for ``_seq >= 0``: no filter is pushed below that column, which would
+    evaluate what is computed once here over and over.
     """
     carried = [F.expr(x) for x in keep or []]
     names = docs.select(*carried).columns if carried else []
@@ -62,7 +64,7 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ordered = hashed.select(*kept, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_s"))
     equal = ordered.select(*kept, "_s", _follows("_s", lambda a, b: F.coalesce(a.h == b.h, F.lit(False))).alias("_e"))
     twice = equal.select(*kept, F.sort_array(F.filter(F.transform("_s", lambda s, i: F.when(F.get(F.col("_e"), i) | F.coalesce(F.get(F.col("_e"), i - 1), F.lit(False)), s.i)), lambda x: x.isNotNull())).alias("_p"))
-    out = twice.select(*kept, F.aggregate(_follows("_p", lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x).cast("long").alias("n_repeat_words"))
+    out = twice.select(*kept, F.aggregate(_follows("_p", lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x).cast("long").alias("n_repeat_words"), F.monotonically_increasing_id().alias("_seq"))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -79,7 +81,7 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Measurements, base_failed, host_rate and kept for every row of ``docs``."""
-    measured = stash(measure(docs, keep), "measured")
+    measured = stash(measure(docs, keep).drop("_seq"), "measured")
     hosts = stash(host_verdicts(measured), "hosts").withColumnRenamed("source", "_host")
     joined = measured.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("_host", "host_ok")
@@ -87,8 +89,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    # written with their rows: a filter on measurements would else be pushed into them and evaluated over and over
-    measured = stash(measure(docs, ["struct(*) AS _row"]), "measured")
-    hosts = stash(host_verdicts(measured.drop("_row")), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
-    passed = measured.where(~F.col("base_failed")).select("source", "_row")
+    hosts = stash(host_verdicts(measure(docs)), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
+    measured = measure(docs, ["struct(*) AS _row"])
+    passed = measured.where(~F.col("base_failed") & (F.col("_seq") >= 0)).select("source", "_row")
     return passed.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")

@@ -200,10 +200,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_text").alias("text"))).alias("f")
     rows = stash(near_groups(docs).groupBy("_root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n")), "grouped")
     firsts = rows.groupBy("_root").agg(first).select(F.col("f.id").alias("_id"), F.col("f.text").alias("_h"))
+    # the narrow side is hashed, so that the texts are neither sorted nor spilled
     one = stash(rows.join(firsts, rows.doc_id.eqNullSafe(firsts._id) & (rows._text == firsts._h)).select("_id", "_h", "n"), "firsts")
     hashed = docs.withColumn("__h", F.xxhash64("text"))
     is_in = lambda part: hashed.doc_id.eqNullSafe(part._id) & (hashed["__h"] == part._h)
-    single = one.where("n = 1")
+    single = one.where("n = 1").hint("shuffle_hash")
     kept = hashed.join(single, is_in(single), "left_semi")
     several = one.where("n > 1")
     if not several.isEmpty():

@@ -368,7 +368,7 @@ def lost_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     near = found.join(twice, "hash").groupBy("_key").agg(F.collect_set(F.struct("place", "first", "last", "hash", "n")).alias("found"))
     near = stash(near, "near")
     parts = max(1, -(-docs.select(F.sum(F.octet_length("text"))).first()[0] // PART_BYTES)) if not near.isEmpty() else 1
-    sorted_ = stash(texts.join(near, "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot), SUFFIX), "runs")
+    sorted_ = stash(texts.join(near.hint("shuffle_hash"), "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot), SUFFIX), "runs")
     discard(found)
     discard(twice)
     discard(near)
@@ -420,7 +420,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False) -> Dat
     """Every row of ``docs`` with _kept (the remaining bytes; ``texts``: as text), n_bytes, n_removed, n_spans."""
     ranges = lost_ranges(docs, hot).withColumnRenamed("_key", "_k")
     rows = keyed(docs)
-    joined = rows.join(ranges, rows["_key"] == ranges["_k"], "left").drop("_k", "_key")
+    joined = rows.join(ranges.hint("shuffle_hash"), rows["_key"] == ranges["_k"], "left").drop("_k", "_key")
     joined = joined.withColumn("_t", F.col("text").cast("binary")).drop("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_t", "ranges"))
     return joined.mapInArrow(_cut_texts if texts else _cut, f"{schema}, _kept {'string' if texts else 'binary'}, n_bytes long, n_removed long, n_spans long")
