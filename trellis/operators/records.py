@@ -64,10 +64,10 @@ def merge_lenient(drafts: DataFrame, key: list[str] = KEY, lists: list[str] = ("
 
 def quarantine_conflicts(drafts: DataFrame, key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
     """(drafts of sound identities, drafts of conflicting ones with the properties in conflict)."""
-    bad = conflicts(drafts, key).groupBy(*key).agg(F.array_sort(F.collect_list("prop")).alias("conflicting"))
-    on = [drafts[k].eqNullSafe(bad[k]) for k in key]
-    aside = drafts.join(bad, on).select(*[drafts[c] for c in drafts.columns], "conflicting")
-    return drafts.join(bad, on, "left_anti"), aside
+    bad = conflicts(drafts, key).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.array_sort(F.collect_list("prop")).alias("conflicting"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    aside = drafts.join(bad, same).select(*drafts.columns, "conflicting")
+    return drafts.join(bad, same, "left_anti"), aside
 
 
 def display_names(rows: DataFrame) -> DataFrame:

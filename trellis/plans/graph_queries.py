@@ -170,11 +170,11 @@ def neighbourhood_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, sym AS (SELECT src_id AS cur, dst_id AS nb, edge_id FROM edges WHERE rel_type IN ('contains', 'supplied_by') UNION ALL SELECT dst_id, src_id, edge_id FROM edges WHERE rel_type IN ('contains', 'supplied_by')),
 walk AS (SELECT 'part:1' AS cur, ['part:1'] AS path, []::VARCHAR[] AS ep UNION ALL
-  SELECT b.nb, list_append(path, b.nb), list_append(ep, b.edge_id) FROM walk w JOIN sym b ON b.cur = w.cur WHERE len(ep) < 4 AND NOT list_contains(ep, b.edge_id))
+  SELECT b.nb, list_append(path, b.nb), list_append(ep, b.edge_id) FROM walk w JOIN sym b ON b.cur = w.cur WHERE len(ep) < 2 AND NOT list_contains(ep, b.edge_id))
 SELECT array_to_string(path, '>') AS path, len(ep)::INT AS length FROM walk WHERE cur = 'part:2' AND len(ep) > 0""")
 def find_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir, ("contains", "supplied_by"))
-    return G.find_paths(e, "part:1", "part:2", 4).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
+    return G.find_paths(e, "part:1", "part:2", 2).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b, count(*) AS n_edges, string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) AS rel_types FROM edges GROUP BY ALL""")
@@ -182,9 +182,8 @@ def pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pair_groups(edges(spark, sf_dir))
 
 
-@query(f"""WITH {GRAPH_SQL}, v AS (SELECT name, id FROM nodes WHERE label IN ('customer', 'supplier'))
-SELECT id, name, (SELECT count(DISTINCT dst_id) FROM edges e WHERE e.src_id = v.id AND rel_type = 'placed') AS n_orders,
-  (SELECT string_agg(DISTINCT dst_id, ',' ORDER BY dst_id) FROM edges e WHERE e.src_id = v.id AND rel_type = 'from') AS nations FROM v""")
+@query(f"""WITH {GRAPH_SQL}, o AS (SELECT src_id AS id, count(DISTINCT dst_id) AS n FROM edges WHERE rel_type = 'placed' GROUP BY 1), f AS (SELECT src_id AS id, string_agg(DISTINCT dst_id, ',' ORDER BY dst_id) AS nations FROM edges WHERE rel_type = 'from' GROUP BY 1)
+SELECT v.id, name, coalesce(o.n, 0) AS n_orders, nations FROM nodes v LEFT JOIN o USING (id) LEFT JOIN f USING (id) WHERE label IN ('customer', 'supplier')""")
 def variant_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One node with two optional hops, each gathered before it is joined, so they do not multiply."""
     v = nodes(spark, sf_dir).where(F.col("label").isin("customer", "supplier")).select("id", "name")

@@ -23,8 +23,8 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.lit("herb").alias("node_type"), F.concat_ws(" ", F.element_at(words, -1), "p_brand").alias("node_name"), F.col("p_size").cast("string").alias("stable_id"), F.element_at(words, 1).alias("parent_name"), F.array("p_name").alias("aliases"), F.array(F.concat(F.lit("part:"), "p_partkey")).alias("evidence_refs"), props.alias("props"))
 
 
-@query(f"""WITH {DRAFT_SQL} SELECT node_type, node_name, stable_id, min(ordinal) AS ordinal, count(*) AS n_merged, arg_min(nullif(finish, ''), ordinal) FILTER (finish <> '') AS finish, any_value(brand) AS brand,
-  (SELECT string_agg(a, '|' ORDER BY o) FROM (SELECT alias AS a, min(ordinal) AS o FROM d x WHERE x.node_name = d.node_name AND x.stable_id = d.stable_id GROUP BY alias)) AS aliases FROM d GROUP BY node_type, node_name, stable_id""")
+@query(f"""WITH {DRAFT_SQL}, a AS (SELECT node_name, stable_id, alias, min(ordinal) AS o FROM d GROUP BY ALL), al AS (SELECT node_name, stable_id, string_agg(alias, '|' ORDER BY o) AS aliases FROM a GROUP BY ALL),
+g AS (SELECT node_type, node_name, stable_id, min(ordinal) AS ordinal, count(*) AS n_merged, arg_min(finish, ordinal) FILTER (finish <> '') AS finish, any_value(brand) AS brand FROM d GROUP BY ALL) SELECT g.*, aliases FROM g JOIN al USING (node_name, stable_id)""")
 def identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts of one identity become one; the first non-empty value of a property stays."""
     out = R.merge_lenient(drafts(spark, sf_dir))
@@ -90,7 +90,7 @@ def merge_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.repoint(e.where(F.col("rel_type").isin("placed", "from")), plan).select("src_id", "rel_type", "dst_id", "n_merged")
 
 
-@query(f"""WITH {DRAFT_SQL} SELECT a.node_name, coalesce(nullif(a.finish, ''), b.finish) AS finish, b.brand AS extra FROM (SELECT node_name, arg_min(finish, ordinal) AS finish FROM d WHERE ordinal % 2 = 0 GROUP BY 1) a
+@query(f"""WITH {DRAFT_SQL} SELECT a.node_name, nullif(coalesce(nullif(a.finish, ''), b.finish), '') AS finish, b.brand AS extra FROM (SELECT node_name, arg_min(finish, ordinal) AS finish FROM d WHERE ordinal % 2 = 0 GROUP BY 1) a
   JOIN (SELECT node_name, arg_min(finish, ordinal) AS finish, arg_min(brand, ordinal) AS brand FROM d WHERE ordinal % 2 = 1 GROUP BY 1) b USING (node_name)""")
 def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a record; the older one is filled where it is empty."""
@@ -106,7 +106,7 @@ def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: the first line is the name, the second word of the text an edge."""
     d = table(spark, sf_dir, "documents")
     line = F.left(F.trim(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)), F.lit(40))
-    edges_ = F.when(F.col("doc_id") % 3 == 0, F.array()).otherwise(F.array(F.struct(F.lit("in_language").alias("type"), F.col("lang").alias("target"), F.create_map(F.lit("evidence_ref"), F.concat(F.lit("doc:"), "doc_id")).alias("props")), F.struct(F.lit("from_source"), F.col("source"), F.create_map(F.lit("dosage"), F.col("n_chars").cast("string"))))).cast("array<struct<type:string,target:string,props:map<string,string>>>")
+    edges_ = F.when(F.col("doc_id") % 3 == 0, F.array()).otherwise(F.array(F.struct(F.lit("in_language").alias("type"), F.col("lang").alias("target"), F.create_map(F.lit("evidence_ref"), F.concat(F.lit("doc:"), "doc_id")).alias("props")), F.struct(F.lit("from_source").alias("type"), F.col("source").alias("target"), F.create_map(F.lit("dosage"), F.col("n_chars").cast("string")).alias("props")))).cast("array<struct<type:string,target:string,props:map<string,string>>>")
     return d.select(F.col("source").alias("source_id"), F.concat(F.lit("b"), (F.col("doc_id") % 4).cast("string")).alias("batch_id"), F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").alias("ordinal"), F.col("lang").alias("node_type"), line.alias("node_name"), F.array(F.concat(F.lit("doc:"), "doc_id")).alias("evidence_refs"), F.lit("").alias("evidence_text"), F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("lang"), F.col("lang")).alias("props"), edges_.alias("edges"))
 
 
@@ -139,7 +139,7 @@ def records_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("unit_id", "node_name", F.size("edges").alias("n_edges"), F.array_join(F.col("edges.target"), ",").alias("targets"))
 
 
-TARGET_SQL = """e AS (SELECT l_orderkey || '-' || l_linenumber AS edge_key, CASE WHEN l_linenumber % 3 = 0 THEN 'stored' WHEN l_linenumber % 3 = 1 THEN 'made_of' ELSE 'unknown' END AS type, CASE WHEN l_linenumber % 2 = 0 THEN 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') ELSE (SELECT p_name FROM part WHERE p_partkey = l_partkey) END AS target FROM lineitem),
+TARGET_SQL = """e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge_key, CASE WHEN l_linenumber % 3 = 0 THEN 'stored' WHEN l_linenumber % 3 = 1 THEN 'made_of' ELSE 'unknown' END AS type, CASE WHEN l_linenumber % 2 = 0 THEN 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') ELSE p_name END AS target FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
 t AS (SELECT 'part' AS node_type, p_name AS node_name, min('part:' || p_partkey) AS id FROM part GROUP BY p_name UNION ALL SELECT 'supplier', s_name, min('supplier:' || s_suppkey) FROM supplier GROUP BY s_name),
 y AS (SELECT * FROM (VALUES ('made_of', 1, 'part'), ('made_of', 2, 'supplier'), ('stored', 1, 'supplier')) v(type, rank, node_type)),
 b AS (SELECT edge_key, arg_min(t.id, y.rank) AS target_id FROM e JOIN y USING (type) JOIN t ON t.node_type = y.node_type AND t.node_name = e.target GROUP BY edge_key)"""
@@ -148,16 +148,16 @@ b AS (SELECT edge_key, arg_min(t.id, y.rank) AS target_id FROM e JOIN y USING (t
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
-    e = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_key"), F.when(n % 3 == 0, "stored").when(n % 3 == 1, "made_of").otherwise("unknown").alias("type"), F.when(n % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))).otherwise(F.col("p_name")).alias("target"))
+    e = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_key"), F.when(n % 3 == 0, "stored").when(n % 3 == 1, "made_of").otherwise("unknown").alias("type"), F.when(n % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))).otherwise(F.col("p_name")).alias("target"))
     t = nodes(spark, sf_dir).where(F.col("label").isin("part", "supplier")).groupBy(F.col("label").alias("node_type"), F.col("name").alias("node_name")).agg(F.min("id").alias("id"))
     y = spark.sql("SELECT * FROM VALUES ('made_of', 1, 'part'), ('made_of', 2, 'supplier'), ('stored', 1, 'supplier') AS t(type, rank, node_type)")
     return R.resolve_targets(e, t, y)
 
 
-@query(f"WITH {TARGET_SQL} SELECT e.edge_key, e.type, b.target_id FROM e LEFT JOIN b USING (edge_key)")
+@query(f"WITH {TARGET_SQL} SELECT DISTINCT e.edge_key, e.type, b.target_id FROM e LEFT JOIN b USING (edge_key)")
 def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate types in order, the first that has the name; unknown types resolve to nothing."""
-    return _resolved(spark, sf_dir).select("edge_key", "type", "target_id")
+    return _resolved(spark, sf_dir).select("edge_key", "type", "target_id").distinct()
 
 
 @query(f"WITH {TARGET_SQL} SELECT e.type, count(*) AS n_edges, count(*) - count(b.target_id) AS n_dangling FROM e LEFT JOIN b USING (edge_key) GROUP BY e.type")
@@ -173,7 +173,8 @@ def bulk_edge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(a, "src_id").join(b, "dst_id").groupBy("label", "rel_type", "target_label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_id").alias("n_sources"))
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT n.id AS admin_id, label, name, coalesce((SELECT string_agg(replace(scope, ';', ' '), ';' ORDER BY scope) FROM (SELECT DISTINCT src_id, scope FROM edges) e WHERE e.src_id = n.id), '') AS scopes FROM nodes n""")
+@query(f"""WITH {GRAPH_SQL}, s AS (SELECT src_id, string_agg(replace(scope, ';', ' '), ';' ORDER BY scope) AS scopes FROM (SELECT DISTINCT src_id, scope FROM edges) GROUP BY src_id)
+SELECT n.id AS admin_id, label, name, coalesce(scopes, '') AS scopes FROM nodes n LEFT JOIN s ON s.src_id = n.id""")
 def bulk_node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
     scopes = e.groupBy(F.col("src_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("scope")), lambda s: F.replace(s, F.lit(";"), F.lit(" "))), ";").alias("scopes"))
