@@ -59,12 +59,17 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str | None = None, limit
     cache_dir = cache_dir or new_path(spark, "token_cache")
     content = F.unhex(F.sha2(text_of(), 256))
     slim = stash(docs.select("doc_id", content.alias("content"), F.octet_length(text_of()).cast("long").alias("n_bytes")), "digests")
-    misses = slim.join(cached(spark, cache_dir, version), "content", "left_anti").groupBy("content").agg(F.min("doc_id").alias("_first"))
+    # of each distinct miss one document, the one of the least doc_id, and how many rows repeat it
+    misses = slim.join(cached(spark, cache_dir, version), "content", "left_anti").groupBy("content", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    misses = misses.groupBy("content").agg(F.min(F.struct("doc_id", "n")).alias("m")).select(F.col("content").alias("_c"), F.col("m.doc_id").alias("_d"), F.col("m.n").alias("n"))
     misses = stash(misses, "misses")
     if not misses.isEmpty():
-        # one document of each distinct miss brings its text; dealt by (content, id), so copies do not meet
-        texts = docs.select(content.alias("content"), F.col("doc_id").alias("_first"), text_of().alias("_t"))
-        texts = texts.join(misses.withColumnRenamed("content", "_c").withColumnRenamed("_first", "_d"), (F.col("content") == F.col("_c")) & F.col("_first").eqNullSafe(F.col("_d")), "left_semi")
+        # dealt by (content, id), so copies do not meet; the narrow side is hashed, so texts are not sorted
+        rows = docs.select(content.alias("content"), F.col("doc_id").alias("_first"), text_of().alias("_t"))
+        of = lambda part: rows.join(part.hint("shuffle_hash"), (F.col("content") == F.col("_c")) & F.col("_first").eqNullSafe(F.col("_d")), "left_semi")
+        texts, repeated = of(misses.where("n = 1")), misses.where("n > 1")
+        if not repeated.isEmpty():
+            texts = texts.unionByName(of(repeated).dropDuplicates(["content"]))
         counted = texts.select("content", "_t").mapInArrow(lambda batches: count_tokens(batches, path), "content binary, n_tokens bigint")
         counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
     known = stash(cached(spark, cache_dir, version), "known")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-DIMENSIONS, STEPS, RATE, DECAY, MAX_LABELLED = 2048, 300, 12.0, 1e-4, 2000
+DIMENSIONS, STEPS, RATE, DECAY, MAX_LABELLED = 4096, 300, 12.0, 1e-4, 2000
 GRAMS = (3, 4)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: A small labelled table: names of invented unwanted and wanted sites; each is seen at SHAPES of urls.
@@ -28,7 +28,15 @@ ALLOWED = """daily-news library recipes university weather museum garden history
 nation station edition thesaurus weaving thicket things ethics orchestra mathematics engineering kitchen football health school
 archive forum thother thition threading therein tionther thenthe ingther thereal theory others thunder thirst thatcher
 action lesson hearing sharing bather wether there-on reading-room city-hall open-data
-ththou thble thtion therthe ththor thingth thentia tiontha thshe thwhen ththenti thesti thousand theoutth hathbles ouththe thwh ingble shthre edthou"""
+mountain-view river-walk book-club garden-tools music-school guide-museum notes-chemistry hiking-trail art-history film-review
+local-paper world-atlas old-town north-sea family-tree bird-watch tea-time open-air city-guide home-cooking
+wood-craft star-map science-fair green-house train-times spring-festival winter-sport summer-camp language-course code-review
+ththou thble thtion therthe ththor thingth thentia tiontha thshe thwhen ththenti thesti thousand theoutth hathbles
+ouththe thwh ingble shthre edthou therinth thetherent thintherin thouthes thwhati thebleth thentha theathe theshti thonthe
+thandther thestther whthe theatwh onthre inther thhewh tiothth theredth threthe shtheth ntthe thlythe thtith thouble"""
+#: More unwanted names: every first with every second part, but for those that are kept to measure the model by.
+FIRST, SECOND = "free best cheap win hot mega online".split(), "casino bets pills spam ads slots adult farm track loans".split()
+HELD_OUT = ("free-bets", "cheap-pills", "best-casino")
 SHAPES = ("http://www.{}.example.com/{}/{}", "https://{}.example.net/{}/{}.html", "https://m.{}.example.org/{}/{}/", "http://blog.{}.example.com/{}/{}?page=2", "https://{}.test/{}/{}#top")
 LANGUAGES = ("en", "de", "fr", "es")
 
@@ -55,10 +63,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Distinct hashed n-grams of the two fields, each field with its ends marked."""
+    """Distinct hashed n-grams of the two fields, each field with its ends marked; all digits count alike."""
 
     def grams(field: str, text: Column) -> list[Column]:
-        text = F.concat(F.lit("^"), text, F.lit("$"))
+        text = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
         return [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.pmod(F.xxhash64(F.lit(field), F.substring(text, i, F.lit(n))), F.lit(dimensions)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in GRAMS]
 
     return F.array_distinct(F.concat(*grams("host", host), *grams("path", path)))
@@ -67,7 +75,8 @@ def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column
 def labelled(spark: SparkSession) -> DataFrame:
     """url, bad (1 or 0): every name at every shape of url, languages and numbers taken in turn."""
     urls = []
-    for bad, names in ((1, BLOCKED.split()), (0, ALLOWED.split())):
+    crossed = [f"{a}-{b}" for a in FIRST for b in SECOND if f"{a}-{b}" not in HELD_OUT]
+    for bad, names in ((1, BLOCKED.split() + crossed), (0, ALLOWED.split())):
         for k, name in enumerate(names):
             urls += [(SHAPES[(k + j) % len(SHAPES)].format(name, LANGUAGES[(k // len(SHAPES) + j) % len(LANGUAGES)], 37 * k * k % 9973 + j), bad) for j in range(len(SHAPES))]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {bad})" for u, bad in urls) + " AS t(url, bad)")
