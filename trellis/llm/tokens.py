@@ -7,6 +7,7 @@ per task (the memory of parts is bounded); where a text gives no such guarantee
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 
 #: Parts remembered by a task; beyond it the memory starts anew.
@@ -66,9 +67,23 @@ class Pieces:
         return self.seen[""]
 
 
+#: One pre-token: letters, perhaps behind a space. Such a part needs the merges alone.
+LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: A mark that ends a word is a pre-token of its own if a letter stands before it.
+MARKS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ByteBpe:
     """tokenizers: ids as little-endian 32-bit bytes. White space ends a pre-token's word, so a text may be
-    divided before a space that follows a character which is surely none."""
+    divided before a space that follows a character which is surely none, and between a letter and the mark
+    that ends a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,6 +91,22 @@ class ByteBpe:
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.letters, self.merges = byte_letters(), self.model.model
+        # merges alone give a part's ids only in a plain byte-level vocabulary
+        self.plain = all(self.merged(x) == self.whole(x) for x in (" the", "été", " Straßenbahn", "qzxjk"))
+
+    def merged(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        found = self.seen.get(part)
+        if found is None:
+            found = self.merged(part) if self.plain and LETTERS.fullmatch(part) else self.whole(part)
+            if len(part) <= LONG_PART:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[part] = found
+        return found
 
     def whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,11 +126,10 @@ class ByteBpe:
                 continue
             found = get(part)
             if found is None:
-                found = self.whole(part)
-                if len(part) <= LONG_PART:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[part] = found
+                if last in MARKS and ("a" <= part[-2:-1] <= "z" or "A" <= part[-2:-1] <= "Z"):
+                    out.append(get(part[:-1]) or self.part(part[:-1]))
+                    part = last
+                found = get(part) or self.part(part)
             out.append(found)
         if held:
             out.append(self.whole(held))
