@@ -16,19 +16,19 @@ from pyspark.sql import types as T
 # White space as str.strip() sees it, beyond what (?U)\s covers in Java.
 WS = r"[\s\x1c-\x1f\x85]"
 # Phrases that character recognition got wrong, with their corrections, applied in this order.
-PHRASE_FIXES = [("土燥咳嗽", "止燥咳嗽"), ("清熟", "清热"), ("解每", "解毒")]
+PHRASE_FIXES = [("置于燥", "置干燥"), ("置千燥", "置干燥"), ("置遁风", "置通风"), ("干燥赴", "干燥处"), ("鲜晶", "鲜品")]
 # ASCII punctuation and its Chinese form in sentences.
-ASCII_PUNCT, CN_PUNCT = ",;:!?", "，；：！？"
-# Characters that a surface key ignores.
-SURFACE_IGNORED = r"[（）()\[\]【】《》〈〉“”\"'‘’·・，,。.；;：:、/\\\-—–_]"
+ASCII_PUNCT, CN_PUNCT = ",;:.~", "，；：。～"
+# Characters that a surface key ignores, besides white space.
+SURFACE_IGNORED = "[　。．.，,、；;：:！!？?（）()【】\\[\\]“”\"'‘’《》〈〉·•\\-—_~～]"
 # A Han character.
 HAN = "[㐀-鿿]"
 # Personal data and the marks that replace it, applied in this order.
-PHONE = r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
-ID_CARD = r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])"
-ADMISSION = r"(住院号|病案号|门诊号)[:：]?\s*[A-Za-z0-9-]+"
-APPROVAL = r"国药准字[A-Z][0-9]{8}"
-REDACTIONS = [(PHONE, "[电话]"), (ID_CARD, "[证件]"), (ADMISSION, "$1[已脱敏]"), (APPROVAL, "[批准文号]")]
+PHONE = r"(?<![0-9])(?:1[3-9][0-9]{9}|0[0-9]{2,3}-?[0-9]{7,8})(?![0-9])"
+ID_CARD = r"(?<![0-9])[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![0-9])"
+ADMISSION = r"住院号[:：]?\s*[0-9]+"
+APPROVAL = r"国药准字[A-Za-z0-9]+"
+REDACTIONS = [(PHONE, "[已过滤电话]"), (ID_CARD, "[已过滤证件]"), (ADMISSION, "住院号[已过滤]"), (APPROVAL, "[已过滤批准文号]")]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -64,10 +64,8 @@ def phrase_fixes(c: Column) -> Column:
 
 
 def surface_key(c: Column, unicode: bool = True) -> Column:
-    """What two spellings of a term share: phrase fixes, NFC, one tilde, no white space, no listed punctuation."""
-    c = phrase_fixes(c)
-    c = nfc_strip(c) if unicode else c
-    c = F.translate(c, "～〜", "~~")
+    """What two spellings of a term share: phrase fixes, NFC, no white space, no listed punctuation."""
+    c = phrase_fixes(nfc_strip(c) if unicode else c)
     return F.regexp_replace(F.regexp_replace(c, rf"(?U){WS}+", ""), SURFACE_IGNORED, "")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bags import is_empty, sorted_json
+from ..functions.text import PHRASE_FIXES
 
 KEY = ["node_type", "node_name", "stable_id"]
 RECORD_KEY = ["source_id", "batch_id", "unit_id", "node_type", "node_name"]
@@ -93,7 +94,7 @@ def score_variant(text: Column, count: Column, kind: str) -> Column:
         score = score + F.when(text.rlike("^《.*》$"), 20).otherwise(0)
     if kind == "sentence":
         score = score + F.when(text.endswith("。"), 8).otherwise(0) + F.when(text.contains("，"), 2).otherwise(0)
-    return score - F.when(text.rlike("熟毒|土燥|解每"), 30).otherwise(0)
+    return score - F.when(text.rlike("|".join(wrong for wrong, _ in PHRASE_FIXES)), 30).otherwise(0)
 
 
 def canonical_variants(values: DataFrame, kind: str = "term") -> DataFrame:

@@ -11,18 +11,18 @@ from .registry import query
 from .views import table
 
 
-@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' (' || p_type || ')', '\s+', '', 'g'), '[().,;:/\\_-]', '', 'g') AS surface FROM part""")
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' (' || p_type || ')', '\s+', '', 'g'), '[().,;:!?_~-]', '', 'g') AS surface FROM part""")
 def surface_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.surface_key(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("surface"))
 
 
-@query("""SELECT doc_id, sum(length(text) - length(translate(text, ',;:!?', ''))) AS n_marks, md5(translate(text, ',;:!?', '，；：！？')) AS digest FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text""".replace("sum(length(text) - length(translate(text, ',;:!?', '')))", "(length(text) - length(translate(text, ',;:!?', '')))::INT"))
+@query("""SELECT doc_id, sum(length(text) - length(translate(text, ',;:.~', ''))) AS n_marks, md5(translate(text, ',;:.~', '，；：。～')) AS digest FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text""".replace("sum(length(text) - length(translate(text, ',;:.~', '')))", "(length(text) - length(translate(text, ',;:.~', '')))::INT"))
 def cn_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return d.select("doc_id", (F.length("text") - F.length(F.translate("text", X.ASCII_PUNCT, ""))).cast("int").alias("n_marks"), F.md5(X.cn_punct(F.col("text"))).alias("digest")).distinct()
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])')::INT AS has_phone, regexp_matches(text, '(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])')::INT AS has_id_card, regexp_matches(text, '(住院号|病案号|门诊号)[:：]?\s*[A-Za-z0-9-]+')::INT AS has_admission,
+@query(r"""SELECT doc_id, regexp_matches(text, '(^|[^0-9])(1[3-9][0-9]{9}|0[0-9]{2,3}-?[0-9]{7,8})($|[^0-9])')::INT AS has_phone, regexp_matches(text, '(^|[^0-9])[1-9][0-9]{5}(18|19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]($|[^0-9])')::INT AS has_id_card, regexp_matches(text, '住院号[:：]?\s*[0-9]+')::INT AS has_admission,
   regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')::INT AS has_email FROM documents WHERE text IS NOT NULL""")
 def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")

@@ -53,7 +53,7 @@ def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Spellings: part names with dashes or blanks, which share a surface key.
 VARIANT_SQL = """v AS (SELECT p_partkey AS ordinal, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN replace(p_type, ' ', '-') ELSE p_type || '.' END AS value FROM part),
-k AS (SELECT *, regexp_replace(regexp_replace(value, '\\s+', '', 'g'), '[().,;:/\\\\_-]', '', 'g') AS surface FROM v)"""
+k AS (SELECT *, regexp_replace(regexp_replace(value, '\\s+', '', 'g'), '[().,;:!?_~-]', '', 'g') AS surface FROM v)"""
 
 
 @query(f"""WITH {VARIANT_SQL}, c AS (SELECT surface, value, count(*) AS n, min(ordinal) AS f FROM k GROUP BY ALL)

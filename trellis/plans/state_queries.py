@@ -92,3 +92,20 @@ def judgement_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
     return p.select("event_id", "k", (F.col("k") % 10).alias("bucket"))
+
+
+@query(None)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: sessions from a stream over the events' files, written out as they close."""
+    import uuid
+
+    from ..streaming.sessions import event_stream, session_stream
+    from .shared import shared_dir
+
+    at = f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    source.repartition(2).write.parquet(f"{at}/in")
+    out = session_stream(event_stream(spark, f"{at}/in", source.schema), "40 days")
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
