@@ -105,7 +105,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     source.repartition(2).write.parquet(f"{at}/in")
-    out = session_stream(event_stream(spark, f"{at}/in", source.schema), "40 days")
+    out = session_stream(event_stream(spark, f"{at}/in", source.schema))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
