@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .vocabulary import FRAGMENT_KEYS, STABLE_ID_KEYS
+
 BAG = T.MapType(T.StringType(), T.StringType())
 
 
@@ -56,3 +58,19 @@ def sorted_json(bag: Column) -> Column:
 def ordered_union(*arrays: Column) -> Column:
     """Distinct members in order of first sight."""
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])))
+
+
+def stable_id(bag: Column, keys: tuple[str, ...] = STABLE_ID_KEYS) -> Column:
+    """The first identifying property that is not empty, else ''."""
+    return F.coalesce(*[F.nullif(bag[k], F.lit("")) for k in keys], F.lit(""))
+
+
+def for_graph(bag: Column) -> Column:
+    """Without text fragments and empty values."""
+    return non_empty(deny(bag, list(FRAGMENT_KEYS)))
+
+
+def without_latin(bag: Column) -> Column:
+    """Without pinyin and Latin names; an alias stays if it holds a Han character."""
+    kept = deny(bag, ["pinyin_name", "latin_name", "拼音", "拉丁名"])
+    return F.map_filter(kept, lambda k, v: ~k.isin("alias", "aliases", "别名", "别名列表") | v.rlike("[㐀-鿿]"))

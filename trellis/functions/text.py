@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .vocabulary import BRANDS
+
 # White space as str.strip() sees it, beyond what (?U)\s covers in Java.
 WS = r"[\s\x1c-\x1f\x85]"
 # Phrases that character recognition got wrong, with their corrections, applied in this order.
@@ -182,3 +184,28 @@ def parent_code(c: Column) -> Column:
 
 def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 12)
+
+
+def strip_latin_lines(c: Column) -> Column:
+    """Lines that hold a Han character or are blank; without outer line breaks; null if nothing is left."""
+    kept = F.filter(F.split(c, "\n"), lambda x: x.rlike(HAN) | (strip_ws(x) == ""))
+    return F.nullif(F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", ""), F.lit(""))
+
+
+def contains_brand(c: Column) -> Column:
+    return c.rlike("|".join(BRANDS))
+
+
+def admin_id(label: Column, name: Column, stable: Column) -> Column:
+    """``label:name[:stable]``."""
+    return F.concat_ws(":", label, name, F.nullif(stable, F.lit("")))
+
+
+def formula_warnings(name: Column) -> Column:
+    """Reasons to doubt a formula's name: long with punctuation; two or more formula endings."""
+    endings = F.size(F.regexp_extract_all(name, F.lit("[汤丸散饮膏丹]"), F.lit(0)))
+    return F.array_compact(F.array(F.when((F.length(name) > 12) & name.rlike("[，,、；;。]"), "long_with_punctuation"), F.when(endings >= 2, "several_formulas")))
+
+
+def edge_id(given: Column, src: Column, rel: Column, dst: Column) -> Column:
+    return F.coalesce(F.nullif(given, F.lit("")), F.concat_ws(":", src, rel, dst))
