@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out."""
-    return suffixes.dedup_documents(docs)
+    """Passages of 50 words or of 400 bytes that occur elsewhere are cut out (one of 50 words under 200 bytes is not found)."""
+    return suffixes.dedup_documents(docs, length=200, words=50)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Exact substring deduplication by a distributed merge sort of suffixes.
 
-Every byte that lies in a string of ``LENGTH`` bytes which also starts somewhere else is removed.
+Every byte that lies in a string of ``length`` bytes (``LENGTH`` unless given) which also starts somewhere
+else is removed. Where ``words`` is given, a maximal run of such bytes goes only if it has LENGTH bytes or
+that many words.
 
-1. Suffixes. Only suffixes at anchors are sorted. A window (LENGTH bytes) has as its anchor the start of the
-   least-hashing ``GRAM``-byte string inside it (the first of equal ones), which equal windows share at the
-   same place. So each window belongs to one suffix, and about one position in 150 is one.
+1. Suffixes. Only suffixes at anchors are sorted. A window (length bytes) has as its anchor the start of the
+   least-hashing ``gram``-byte string inside it (the first of equal ones), which equal windows share at the
+   same place. So each window belongs to one suffix, and about one position in 150 is one (in 70 at 200 bytes).
 2. Two equal windows need equal anchor strings; suffixes whose anchor string occurs once are left out, by
    counting 64-bit hashes (a collision only keeps one more).
 3. A suffix is written as the bytes from its anchor on, as far as its windows reach, followed by the bytes
@@ -20,7 +22,7 @@ Every byte that lies in a string of ``LENGTH`` bytes which also starts somewhere
 An anchor string with more than ``HOT`` occurrences (a line in a third of all documents) would meet in one
 task: its suffixes go another exact way, in which their windows' digests are counted as rows.
 
-Defined cases: null or empty text: nothing to remove; texts under LENGTH bytes: nothing; equal rows repeat
+Defined cases: null or empty text: nothing to remove; texts under the length: nothing; equal rows repeat
 each other (if long enough all their bytes go); null doc_id: kept; long texts are worked through in pieces
 of ``PIECE`` windows; empty table: no rows.
 """
@@ -113,11 +115,11 @@ def anchors(data: bytes, ends: list[int], length: int = LENGTH, gram: int = GRAM
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(_key, _t) batches to one row for each suffix."""
 
     def found(held: list, ends: list[int], joined: bytes) -> pa.RecordBatch:
-        hashes, place, first, last = anchors(joined, ends)
+        hashes, place, first, last = anchors(joined, ends, length, gram)
         which = np.searchsorted(ends, place, side="right")
         shift = np.array([base - (ends[i - 1] if i else 0) for i, (_, base) in enumerate(held)], np.int64)[which]
         keys = pa.array([k for k, _ in held], pa.binary()).take(pa.array(which))
@@ -127,8 +129,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text in zip(batch.column("_key"), batch.column("_t")):
             data = text.as_py() or b""
-            for at in range(0, len(data) - LENGTH + 1, PIECE):
-                joined += data[at : at + PIECE + LENGTH - 1]
+            for at in range(0, len(data) - length + 1, PIECE):
+                joined += data[at : at + PIECE + length - 1]
                 held.append((key.as_py(), at))
                 ends.append(len(joined))
                 if len(joined) >= PIECE:
@@ -282,7 +284,7 @@ def digest_of(text: bytes, ahead: int) -> bytes:
 SUFFIX = "kind int, part int, run binary, _key binary, place long, id binary, k int, weight int"
 
 
-def _sorted_runs(parts: int, hot: int):
+def _sorted_runs(parts: int, hot: int, length: int):
     """(_t, _key, found) batches to: runs (kind 0), occurrences (kind 1), windows of hot suffixes (kind 2)."""
     names = [c.split()[0] for c in SUFFIX.split(", ")]
     kinds = {"kind": pa.int32(), "part": pa.int32(), "run": pa.binary(), "_key": pa.binary(), "place": pa.int64(), "id": pa.binary(), "k": pa.int32(), "weight": pa.int32()}
@@ -302,8 +304,8 @@ def _sorted_runs(parts: int, hot: int):
                 yield rows(kind=[0], part=[part], run=[run])
             for (text, ahead), count in crowded.items():
                 own, back = digest_of(text, ahead), text[ahead:]
-                ks = range(LENGTH - ahead, len(back) + 1)
-                windows = [hashlib.blake2b(back[:k][::-1] + text[: LENGTH - k], digest_size=16).digest() for k in ks]
+                ks = range(length - ahead, len(back) + 1)
+                windows = [hashlib.blake2b(back[:k][::-1] + text[: length - k], digest_size=16).digest() for k in ks]
                 yield rows(kind=[2] * len(windows), run=windows, id=[own] * len(windows), k=list(ks), weight=[min(count, 2)] * len(windows))
             held.clear()
             crowded.clear()
@@ -314,7 +316,7 @@ def _sorted_runs(parts: int, hot: int):
                 data, key = text.as_py(), key.as_py()
                 for s in found.as_py():
                     place = s["place"]
-                    ahead = data[place : s["last"] + LENGTH]
+                    ahead = data[place : s["last"] + length]
                     whole = ahead + data[s["first"] : place][::-1]
                     keys.append(key)
                     places.append(place)
@@ -334,18 +336,18 @@ def _sorted_runs(parts: int, hot: int):
     return work
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
     """All runs of one part to (id, from, to): what each distinct suffix loses, relative to its anchor."""
     ids, starts, stops, group = [], [], [], []
 
     def close() -> None:
-        for i, a, b in repeated(group):
+        for i, a, b in repeated(group, length):
             ids.append(digest_of(*group[i][:2]))
             starts.append(a)
             stops.append(b)
 
     for entry in merged([Run(r.as_py()) for r in table.column("run")]):
-        if group and entry[3] < GRAM:
+        if group and entry[3] < gram:
             if len(group) > 1 or group[0][2] > 1:
                 close()
             group = []
@@ -360,22 +362,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))))
 
 
-def lost_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def lost_ranges(docs: DataFrame, hot: int = HOT, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """_key, ranges (array of from, to in bytes; they may overlap): only texts that lose something. Stashed."""
     texts = keyed(docs.select("doc_id", "text")).select("_key", F.col("text").cast("binary").alias("_t"))
-    found = stash(texts.mapInArrow(_find, "_key binary, hash long, place long, first long, last long"), "anchors")
+    found = stash(texts.mapInArrow(lambda batches: _find(batches, length, gram), "_key binary, hash long, place long, first long, last long"), "anchors")
     twice = stash(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     near = found.join(twice, "hash").groupBy("_key").agg(F.collect_set(F.struct("place", "first", "last", "hash", "n")).alias("found"))
     near = stash(near, "near")
     parts = max(1, -(-docs.select(F.sum(F.octet_length("text"))).first()[0] // PART_BYTES)) if not near.isEmpty() else 1
-    sorted_ = stash(texts.join(near.hint("shuffle_hash"), "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot), SUFFIX), "runs")
+    sorted_ = stash(texts.join(near.hint("shuffle_hash"), "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot, length), SUFFIX), "runs")
     discard(found)
     discard(twice)
     discard(near)
-    lost = sorted_.where("kind = 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge, "id binary, `from` int, `to` int")
+    lost = sorted_.where("kind = 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(lambda runs: _merge(runs, length, gram), "id binary, `from` int, `to` int")
     windows = sorted_.where("kind = 2").select("run", "id", "k", "weight")
     again = windows.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run")
-    crowded = windows.join(again, "run", "left_semi").groupBy("id").agg((-F.max("k")).alias("from"), (LENGTH - F.min("k")).alias("to"))
+    crowded = windows.join(again, "run", "left_semi").groupBy("id").agg((-F.max("k")).alias("from"), (F.lit(length) - F.min("k")).alias("to"))
     lost = stash(lost.unionByName(crowded), "lost")
     places = sorted_.where("kind = 1").select("_key", "place", "id")
     ranges = places.join(lost, "id").select("_key", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to")).distinct()
@@ -396,7 +398,7 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], words: int = 0) -> Iterator[pa.RecordBatch]:
     """(..., _t, ranges) batches to (..., _kept, n_bytes, n_removed, n_spans)."""
     for batch in batches:
         names = [c for c in batch.schema.names if c not in ("_t", "ranges")]
@@ -404,6 +406,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, ranges in zip(batch.column("_t"), batch.column("ranges")):
             data = text.as_py() or b""
             runs = united([(r["from"], r["to"]) for r in ranges.as_py() or ()])
+            runs = [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) >= words]
             at, parts = 0, []
             for a, b in runs:
                 parts.append(data[at:a])
@@ -416,28 +419,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], [*names, "_kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
     """Every row of ``docs`` with _kept (the remaining bytes; ``texts``: as text), n_bytes, n_removed, n_spans."""
-    ranges = lost_ranges(docs, hot).withColumnRenamed("_key", "_k")
+    ranges = lost_ranges(docs, hot, length, gram).withColumnRenamed("_key", "_k")
     rows = keyed(docs)
     joined = rows.join(ranges.hint("shuffle_hash"), rows["_key"] == ranges["_k"], "left").drop("_k", "_key")
     joined = joined.withColumn("_t", F.col("text").cast("binary")).drop("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_t", "ranges"))
-    return joined.mapInArrow(_cut_texts if texts else _cut, f"{schema}, _kept {'string' if texts else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    cut = _cut_texts if texts else _cut
+    return joined.mapInArrow(lambda batches: cut(batches, words), f"{schema}, _kept {'string' if texts else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], words: int = 0) -> Iterator[pa.RecordBatch]:
     """As _cut, with the remaining text instead of its bytes."""
-    for batch in _cut(batches):
+    for batch in _cut(batches, words):
         texts = pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("_kept")], pa.string())
         at = batch.schema.get_field_index("_kept")
         yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
 
-def dedup_documents(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def dedup_documents(docs: DataFrame, hot: int = HOT, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
     """The documents with their repeated passages removed, n_chars anew; of a character that is cut in two
     nothing stays. A document of which nothing is left, or no word, goes; one that had no text before stays."""
-    out = without_repeats(docs, hot, texts=True).withColumnRenamed("_kept", "text")
+    out = without_repeats(docs, hot, True, length, gram, words).withColumnRenamed("_kept", "text")
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
