@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal SimHash fingerprints stays."""
+    """One document of each group stays, linked by a similarity of 0.8 or more on five-word shingles."""
     return simhash.keep_one(docs)
 
 

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import alike
 from .common import discard, stash
 
 SHINGLE, SEED = 3, 42
@@ -182,6 +183,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def alike_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, _text, _root for every row of ``docs``: groups of texts that share four fifths of their five-word
+    shingles, whatever their fingerprints (see ``alike``)."""
+    prints, found = alike.links(docs, components)
+    roots = components(found).select(F.col("a").alias("_p"), "root")
+    return prints.join(roots, F.col("print") == F.col("_p"), "left").select("doc_id", "_text", F.coalesce("root", "print").alias("_root"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, and _text, _root for every row of ``docs``."""
     prints = fingerprints(docs)
@@ -195,10 +204,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one of the least doc_id (and, where rows share
+    """One document of each group of alike texts, with all its columns: the one of the least doc_id (and, where rows share
     it, of the least text hash; of rows that repeat both, any one)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_text").alias("text"))).alias("f")
-    rows = stash(near_groups(docs).groupBy("_root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    rows = stash(alike_groups(docs).groupBy("_root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n")), "grouped")
     firsts = rows.groupBy("_root").agg(first).select(F.col("f.id").alias("_id"), F.col("f.text").alias("_h"))
     # the narrow side is hashed, so that the texts are neither sorted nor spilled
     one = stash(rows.join(firsts, rows.doc_id.eqNullSafe(firsts._id) & (rows._text == firsts._h)).select("_id", "_h", "n"), "firsts")
