@@ -126,16 +126,29 @@ def _prefixes(late: np.ndarray):
     return work
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_t) batches to (print, packed): a compressed text takes a fraction of the room of its set."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        data = [t.as_py() for t in batch.column("_t")]
-        yield pa.RecordBatch.from_arrays([pa.array([words_key(t) for t in data], pa.int64()), pa.array([shingle_set(t).tobytes() for t in data], pa.binary())], ["print", "set"])
+        data = [t.as_py() or b"" for t in batch.column("_t")]
+        yield pa.RecordBatch.from_arrays([pa.array([words_key(t) for t in data], pa.int64()), pa.array([pack(t) for t in data], pa.binary())], ["print", "packed"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    last, own = None, None
     for batch in batches:
-        good = [are_alike(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)) for x, y in zip(batch.column("set"), batch.column("set_b"))]
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
+        good = []
+        for a, x, y in zip(batch.column("a"), batch.column("packed"), batch.column("packed_b")):
+            if a.as_py() != last:
+                last, own = a.as_py(), shingle_set(unpack(x.as_py()))
+            good.append(are_alike(own, shingle_set(unpack(y.as_py()))))
+        good = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -172,11 +185,11 @@ def _alike(rows: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = stash(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
     wanted = stash(chosen.join(wanted, "print", "left_semi").select("_h"), "wanted")
-    sets = rows.join(wanted, F.col("_text") == F.col("_h"), "left_semi").select("_t").mapInArrow(_sets, "print long, `set` binary")
-    sets = stash(sets.groupBy("print").agg(F.first("set").alias("set")), "sets")
-    both = pairs.join(sets.withColumnRenamed("print", "a"), "a").join(sets.select(F.col("print").alias("b"), F.col("set").alias("set_b")), "b")
-    links = stash(both.select("a", "b", "set", "set_b").mapInArrow(_verified, "a long, b long"), "alike")
-    for done in (sets, wanted, pairs):
+    packed = rows.join(wanted, F.col("_text") == F.col("_h"), "left_semi").select("_t").mapInArrow(_packed, "print long, packed binary")
+    packed = stash(packed.groupBy("print").agg(F.first("packed").alias("packed")), "packed")
+    both = pairs.join(packed.withColumnRenamed("print", "a"), "a").join(packed.select(F.col("print").alias("b"), F.col("packed").alias("packed_b")), "b")
+    links = stash(both.select("a", "b", "packed", "packed_b").mapInArrow(_verified, "a long, b long"), "alike")
+    for done in (packed, wanted, pairs):
         discard(done)
     return links
 
