@@ -50,10 +50,10 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffixes import without_repeats
+    from .suffixes import PASSAGE, without_repeats
 
-    done = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"))
+    done = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

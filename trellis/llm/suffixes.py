@@ -2,15 +2,18 @@
 
 Every byte that lies in a string of ``length`` bytes (``LENGTH`` unless given) which also starts somewhere
 else is removed. Where ``words`` is given, a maximal run of such bytes goes only if it has LENGTH bytes or
-that many words.
+that many words. Where ``passage`` is given, a length below the first, runs of strings of that length that
+also start elsewhere are found in the same pass and counted if they have LENGTH bytes or ``PASSAGE_WORDS``
+words; nothing is removed for them.
 
-1. Suffixes. Only suffixes at anchors are sorted. A window (length bytes) has as its anchor the start of the
+1. Suffixes. Only suffixes at anchors are sorted. A window (length bytes, of the least length asked for) has
+   as its anchor the start of the
    least-hashing ``gram``-byte string inside it (the first of equal ones), which equal windows share at the
    same place. So each window belongs to one suffix, and about one position in 150 is one (in 70 at 200 bytes).
 2. Two equal windows need equal anchor strings; suffixes whose anchor string occurs once are left out, by
    counting 64-bit hashes (a collision only keeps one more).
-3. A suffix is written as the bytes from its anchor on, as far as its windows reach, followed by the bytes
-   before it, backwards. Tasks sort theirs into runs, front-code them (length of the prefix shared with the
+3. A suffix is written as the bytes from its anchor on, as far as windows of the greatest length reach,
+   followed by the bytes before it, backwards. Tasks sort theirs into runs, front-code them (length of the prefix shared with the
    entry before, then the rest; equal entries once, with a count) and deal them out by anchor string.
 4. A task merges the runs of its part with a loser tree whose matches start behind the prefix that both
    contenders are known to share with the last winner. It hands on each suffix with the length of the
@@ -22,9 +25,11 @@ that many words.
 An anchor string with more than ``HOT`` occurrences (a line in a third of all documents) would meet in one
 task: its suffixes go another exact way, in which their windows' digests are counted as rows.
 
-Defined cases: null or empty text: nothing to remove; texts under the length: nothing; equal rows repeat
-each other (if long enough all their bytes go); null doc_id: kept; long texts are worked through in pieces
-of ``PIECE`` windows; empty table: no rows.
+Defined cases: null or empty text: nothing to remove, and a null text stays null in ``dedup_documents``;
+texts under the length: nothing; equal rows repeat each other (if long enough all their bytes go); null
+doc_id: kept; long texts are worked through in pieces of ``PIECE`` windows; empty table: no rows. Further
+columns may have any names: ``dedup_documents`` returns them all, ``without_repeats`` those that are not
+named like one of its results.
 """
 
 from __future__ import annotations
@@ -42,11 +47,15 @@ from pyspark.sql import functions as F
 from .common import discard, stash
 
 LENGTH, GRAM, HOT = 400, 64, 20_000
+#: What counts as a passage where a second length is asked for.
+PASSAGE, PASSAGE_WORDS = 200, 50
+#: Keys that a repeated window of crowded suffixes is spread over.
+SALTS = 32
 PIECE = 1 << 18
 #: A task sorts and deals out its runs whenever they hold this many bytes.
 RUN_BYTES = 24 << 20
 #: Bytes of text for each part of the merge.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict = {}
 
@@ -153,12 +162,21 @@ def shared_prefix(a: bytes, b: bytes, at: int) -> int:
     return n
 
 
+def shape_of(ahead: int, low: int) -> int:
+    """How a suffix is to be read: ``ahead`` bytes from the anchor on; its last window starts ``low`` before it."""
+    return low << 16 | ahead
+
+
+def ahead_low(shape: int) -> tuple[int, int]:
+    return shape & 0xFFFF, shape >> 16
+
+
 def front_coded(entries: list[tuple[bytes, int, int]]) -> bytes:
-    """A sorted run of (string, bytes from the anchor on, count) as bytes."""
+    """A sorted run of (string, shape, count) as bytes."""
     out, tails, before = [], [], b""
-    for text, ahead, count in entries:
+    for text, shape, count in entries:
         shared = shared_prefix(before, text, 0)
-        out.append((shared, len(text) - shared, ahead, count))
+        out.append((shared, len(text) - shared, shape, count))
         tails.append(text[shared:])
         before = text
     import zstandard
@@ -181,7 +199,7 @@ class Run:
         if self.next >= len(self.rows):
             self.text, self.data, self.rows = None, b"", []
             return False
-        self.shared, rest, self.ahead, self.count = self.rows[self.next]
+        self.shared, rest, self.shape, self.count = self.rows[self.next]
         self.text = self.text[: self.shared] + self.data[self.at : self.at + rest]
         self.at += rest
         self.next += 1
@@ -189,7 +207,7 @@ class Run:
 
 
 def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
-    """(string, ahead, count, prefix shared with the one before) of all runs in order, equal ones once.
+    """(string, shape, count, prefix shared with the one before) of all runs in order, equal ones once.
 
     A loser tree: every inner node holds the contender that lost there, with the prefix that it shares with
     the one that beat it. On the winner's way up all of these relate to the last winner, so the longer shared
@@ -214,7 +232,7 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
         if n < len(x) and n < len(y):
             won = x[n] < y[n]
         else:
-            won = (len(x), a.ahead) <= (len(y), b.ahead)
+            won = (len(x), a.shape) <= (len(y), b.shape)
         if won:
             b.shared = n
             return a, b
@@ -232,12 +250,12 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
     winner = build(1)
     held = None
     while winner is not None and winner.text is not None:
-        if held and winner.shared == len(held[0]) == len(winner.text) and held[1] == winner.ahead:
+        if held and winner.shared == len(held[0]) == len(winner.text) and held[1] == winner.shape:
             held[2] += winner.count
         else:
             if held:
                 yield tuple(held)
-            held = [winner.text, winner.ahead, winner.count, winner.shared]
+            held = [winner.text, winner.shape, winner.count, winner.shared]
         winner.advance()
         node = winner.leaf // 2
         while node:
@@ -250,18 +268,19 @@ def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) ->
     """(place in the group, from, to) for the suffixes of one anchor string, in order: the bytes, relative to
     the anchor, that repeated windows cover. They are one range, as every window holds the anchor. The window
     of offset k starts k bytes before the anchor."""
-    backs = [text[ahead:] for text, ahead, _, _ in group]
-    spans = [(length - ahead, len(back)) for (_, ahead, _, _), back in zip(group, backs)]
+    aheads, lows = zip(*(ahead_low(shape) for _, shape, _, _ in group))
+    backs = [text[ahead:] for (text, _, _, _), ahead in zip(group, aheads)]
+    spans = [(max(low, length - ahead), len(back)) for ahead, low, back in zip(aheads, lows, backs)]
     if len(group) == 2 and group[0][2] == group[1][2] == 1:
-        ahead = min(group[1][3], group[0][1], group[1][1])
+        ahead = min(group[1][3], *aheads)
         behind = shared_prefix(*backs, 0)
         a, b = max(length - ahead, spans[0][0], spans[1][0]), min(behind, spans[0][1], spans[1][1])
         if a <= b:
             yield from ((i, -b, length - a) for i in (0, 1))
         return
     # least and greatest offset of a repeated window; a suffix that occurs twice loses all of its windows
-    hits: list[tuple[int, int] | None] = [span if entry[2] > 1 else None for entry, span in zip(group, spans)]
-    if len(group) > 1 and not all(hits):
+    hits: list[tuple[int, int] | None] = [span if entry[2] > 1 and span[0] <= span[1] else None for entry, span in zip(group, spans)]
+    if len(group) > 1 and any(not hit and a <= b for hit, (a, b) in zip(hits, spans)):
         for k in range(min(a for a, _ in spans), max(b for _, b in spans) + 1):
             alike, part = defaultdict(list), 0
             for i, (a, b) in enumerate(spans):
@@ -277,36 +296,38 @@ def repeated(group: list[tuple[bytes, int, int, int]], length: int = LENGTH) ->
     yield from ((i, -hit[1], length - hit[0]) for i, hit in enumerate(hits) if hit)
 
 
-def digest_of(text: bytes, ahead: int) -> bytes:
-    return hashlib.blake2b(text, digest_size=16, salt=struct.pack("<Q", ahead)).digest()
+def digest_of(text: bytes, shape: int) -> bytes:
+    return hashlib.blake2b(text, digest_size=16, salt=struct.pack("<Q", shape)).digest()
 
 
-SUFFIX = "kind int, part int, run binary, _key binary, place long, id binary, k int, weight int"
+SUFFIX = "kind int, part int, run binary, _key binary, place long, id binary, length int, k int, weight int"
 
 
-def _sorted_runs(parts: int, hot: int, length: int):
+def _sorted_runs(parts: int, hot: int, lengths: tuple[int, ...]):
     """(_t, _key, found) batches to: runs (kind 0), occurrences (kind 1), windows of hot suffixes (kind 2)."""
     names = [c.split()[0] for c in SUFFIX.split(", ")]
-    kinds = {"kind": pa.int32(), "part": pa.int32(), "run": pa.binary(), "_key": pa.binary(), "place": pa.int64(), "id": pa.binary(), "k": pa.int32(), "weight": pa.int32()}
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "run": pa.binary(), "_key": pa.binary(), "place": pa.int64(), "id": pa.binary(), "length": pa.int32(), "k": pa.int32(), "weight": pa.int32()}
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = defaultdict(dict)  # part -> (string, ahead) -> count
+        held: dict[int, dict] = defaultdict(dict)  # part -> (string, shape) -> count
         crowded: dict[tuple, int] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for part, entries in held.items():
-                run = front_coded([(text, ahead, min(count, 2)) for (text, ahead), count in sorted(entries.items())])
+                run = front_coded([(text, shape, min(count, 2)) for (text, shape), count in sorted(entries.items())])
                 yield rows(kind=[0], part=[part], run=[run])
-            for (text, ahead), count in crowded.items():
-                own, back = digest_of(text, ahead), text[ahead:]
-                ks = range(length - ahead, len(back) + 1)
-                windows = [hashlib.blake2b(back[:k][::-1] + text[: length - k], digest_size=16).digest() for k in ks]
-                yield rows(kind=[2] * len(windows), run=windows, id=[own] * len(windows), k=list(ks), weight=[min(count, 2)] * len(windows))
+            for (text, shape), count in crowded.items():
+                ahead, low = ahead_low(shape)
+                own, back = digest_of(text, shape), text[ahead:]
+                for length in lengths:
+                    ks = range(max(low, length - ahead), len(back) + 1)
+                    windows = [hashlib.blake2b(back[:k][::-1] + text[: length - k], digest_size=16).digest() for k in ks]
+                    yield rows(kind=[2] * len(windows), run=windows, id=[own] * len(windows), length=[length] * len(windows), k=list(ks), weight=[min(count, 2)] * len(windows))
             held.clear()
             crowded.clear()
 
@@ -316,14 +337,14 @@ def _sorted_runs(parts: int, hot: int, length: int):
                 data, key = text.as_py(), key.as_py()
                 for s in found.as_py():
                     place = s["place"]
-                    ahead = data[place : s["last"] + length]
-                    whole = ahead + data[s["first"] : place][::-1]
+                    ahead = data[place : s["last"] + max(lengths)]
+                    whole, shape = ahead + data[s["first"] : place][::-1], shape_of(len(ahead), place - s["last"])
                     keys.append(key)
                     places.append(place)
-                    ids.append(digest_of(whole, len(ahead)))
+                    ids.append(digest_of(whole, shape))
                     into = crowded if s["n"] > hot else held[s["hash"] % parts]
-                    known = into.get((whole, len(ahead)), 0)
-                    into[whole, len(ahead)] = known + 1
+                    known = into.get((whole, shape), 0)
+                    into[whole, shape] = known + 1
                     if not known:
                         size += len(whole)
                     if size >= RUN_BYTES:
@@ -336,15 +357,17 @@ def _sorted_runs(parts: int, hot: int, length: int):
     return work
 
 
-def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
-    """All runs of one part to (id, from, to): what each distinct suffix loses, relative to its anchor."""
-    ids, starts, stops, group = [], [], [], []
+def _merge(table: pa.Table, lengths: tuple[int, ...], gram: int) -> pa.Table:
+    """All runs of one part to (id, length, from, to): what each distinct suffix loses, relative to its anchor."""
+    ids, sizes, starts, stops, group = [], [], [], [], []
 
     def close() -> None:
-        for i, a, b in repeated(group, length):
-            ids.append(digest_of(*group[i][:2]))
-            starts.append(a)
-            stops.append(b)
+        for length in lengths:
+            for i, a, b in repeated(group, length):
+                ids.append(digest_of(*group[i][:2]))
+                sizes.append(length)
+                starts.append(a)
+                stops.append(b)
 
     for entry in merged([Run(r.as_py()) for r in table.column("run")]):
         if group and entry[3] < gram:
@@ -354,34 +377,40 @@ def _merge(table: pa.Table, length: int, gram: int) -> pa.Table:
         group.append(entry)
     if len(group) > 1 or group and group[0][2] > 1:
         close()
-    return pa.table({"id": pa.array(ids, pa.binary()), "from": pa.array(starts, pa.int32()), "to": pa.array(stops, pa.int32())})
+    return pa.table({"id": pa.array(ids, pa.binary()), "length": pa.array(sizes, pa.int32()), "from": pa.array(starts, pa.int32()), "to": pa.array(stops, pa.int32())})
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a digest of doc_id and text. Rows that share it lose the same bytes."""
-    return docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))))
-
-
-def lost_ranges(docs: DataFrame, hot: int = HOT, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_key, ranges (array of from, to in bytes; they may overlap): only texts that lose something. Stashed."""
-    texts = keyed(docs.select("doc_id", "text")).select("_key", F.col("text").cast("binary").alias("_t"))
-    found = stash(texts.mapInArrow(lambda batches: _find(batches, length, gram), "_key binary, hash long, place long, first long, last long"), "anchors")
+    """_row (all columns but the text, as a struct), _key, _t (the text's bytes). The key is a digest of doc_id
+    and text; rows that share it lose the same bytes."""
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(row.alias("_row"), key.alias("_key"), F.col("text").cast("binary").alias("_t"))
+
+
+def lost_ranges(docs: DataFrame, hot: int = HOT, length: int = LENGTH, gram: int = GRAM, passage: int | None = None) -> DataFrame:
+    """_key, ranges (array of length, from, to in bytes; they may overlap): only texts with repeated strings. Stashed."""
+    lengths = tuple(dict.fromkeys([length, passage or length]))
+    short = min(lengths)
+    texts = keyed(docs.select("doc_id", "text")).select("_key", "_t")
+    found = stash(texts.mapInArrow(lambda batches: _find(batches, short, gram), "_key binary, hash long, place long, first long, last long"), "anchors")
     twice = stash(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     near = found.join(twice, "hash").groupBy("_key").agg(F.collect_set(F.struct("place", "first", "last", "hash", "n")).alias("found"))
     near = stash(near, "near")
     parts = max(1, -(-docs.select(F.sum(F.octet_length("text"))).first()[0] // PART_BYTES)) if not near.isEmpty() else 1
-    sorted_ = stash(texts.join(near.hint("shuffle_hash"), "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot, length), SUFFIX), "runs")
+    sorted_ = stash(texts.join(near.hint("shuffle_hash"), "_key").select("_t", "_key", "found").mapInArrow(_sorted_runs(parts, hot, lengths), SUFFIX), "runs")
     discard(found)
     discard(twice)
     discard(near)
-    lost = sorted_.where("kind = 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(lambda runs: _merge(runs, length, gram), "id binary, `from` int, `to` int")
-    windows = sorted_.where("kind = 2").select("run", "id", "k", "weight")
-    again = windows.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run")
-    crowded = windows.join(again, "run", "left_semi").groupBy("id").agg((-F.max("k")).alias("from"), (F.lit(length) - F.min("k")).alias("to"))
+    lost = sorted_.where("kind = 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(lambda runs: _merge(runs, lengths, gram), "id binary, length int, `from` int, `to` int")
+    windows = sorted_.where("kind = 2").select("run", "id", "length", "k", "weight", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    # a window that very many suffixes share is one digest: it is met under SALTS keys
+    again = windows.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    crowded = windows.join(again, ["run", "salt"], "left_semi").groupBy("id", "length").agg((-F.max("k")).alias("from"), (F.col("length") - F.min("k")).alias("to"))
     lost = stash(lost.unionByName(crowded), "lost")
     places = sorted_.where("kind = 1").select("_key", "place", "id")
-    ranges = places.join(lost, "id").select("_key", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to")).distinct()
-    out = stash(ranges.groupBy("_key").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "ranges")
+    ranges = places.join(lost, "id").select("_key", "length", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to")).distinct()
+    out = stash(ranges.groupBy("_key").agg(F.collect_list(F.struct("length", "from", "to")).alias("ranges")), "ranges")
     discard(sorted_)
     discard(lost)
     return out
@@ -398,51 +427,57 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], words: int = 0) -> Iterator[pa.RecordBatch]:
-    """(..., _t, ranges) batches to (..., _kept, n_bytes, n_removed, n_spans)."""
-    for batch in batches:
-        names = [c for c in batch.schema.names if c not in ("_t", "ranges")]
-        kept, sizes, removed, spans = [], [], [], []
-        for text, ranges in zip(batch.column("_t"), batch.column("ranges")):
-            data = text.as_py() or b""
-            runs = united([(r["from"], r["to"]) for r in ranges.as_py() or ()])
-            runs = [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) >= words]
-            at, parts = 0, []
-            for a, b in runs:
-                parts.append(data[at:a])
-                at = b
-            parts.append(data[at:])
-            kept.append(b"".join(parts))
-            sizes.append(len(data))
-            removed.append(sum(b - a for a, b in runs))
-            spans.append(len(runs))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], [*names, "_kept", "n_bytes", "n_removed", "n_spans"])
-
-
-def without_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
-    """Every row of ``docs`` with _kept (the remaining bytes; ``texts``: as text), n_bytes, n_removed, n_spans."""
-    ranges = lost_ranges(docs, hot, length, gram).withColumnRenamed("_key", "_k")
+def _cut(length: int, passage: int, words: int, texts: bool):
+    """(_row, _t, ranges) batches to (_row, _kept, n_bytes, n_removed, n_spans, n_passages)."""
+
+    def long_enough(data: bytes, ranges: list[dict], of: int, least: int) -> list[tuple[int, int]]:
+        runs = united([(r["from"], r["to"]) for r in ranges if r["length"] == of])
+        return [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) >= least]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, counts = [], []
+            for text, ranges in zip(batch.column("_t"), batch.column("ranges")):
+                text, ranges = text.as_py(), ranges.as_py() or []
+                data = text or b""
+                runs = long_enough(data, ranges, length, words)
+                at, parts = 0, []
+                for a, b in runs:
+                    parts.append(data[at:a])
+                    at = b
+                parts.append(data[at:])
+                left = b"".join(parts)
+                kept.append((None if text is None else left.decode("utf-8", "ignore")) if texts else left)
+                counts.append((len(data), sum(b - a for a, b in runs), len(runs), len(long_enough(data, ranges, passage, PASSAGE_WORDS))))
+            columns = list(zip(*counts)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(kept, pa.string() if texts else pa.binary()), *(pa.array(x, pa.int64()) for x in columns)], ["_row", *RESULTS])
+
+    return work
+
+
+RESULTS = ("_kept", "n_bytes", "n_removed", "n_spans", "n_passages")
+
+
+def measured(docs: DataFrame, hot: int, texts: bool, length: int, gram: int, words: int, passage: int | None) -> DataFrame:
+    """_row (the other columns of every row of ``docs``) and RESULTS."""
+    ranges = lost_ranges(docs, hot, length, gram, passage).withColumnRenamed("_key", "_k")
     rows = keyed(docs)
-    joined = rows.join(ranges.hint("shuffle_hash"), rows["_key"] == ranges["_k"], "left").drop("_k", "_key")
-    joined = joined.withColumn("_t", F.col("text").cast("binary")).drop("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_t", "ranges"))
-    cut = _cut_texts if texts else _cut
-    return joined.mapInArrow(lambda batches: cut(batches, words), f"{schema}, _kept {'string' if texts else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    joined = rows.join(ranges.hint("shuffle_hash"), rows["_key"] == ranges["_k"], "left").select("_row", "_t", "ranges")
+    kind = joined.schema["_row"].dataType.simpleString()
+    return joined.mapInArrow(_cut(length, passage or length, words, texts), f"_row {kind}, _kept {'string' if texts else 'binary'}, n_bytes long, n_removed long, n_spans long, n_passages long")
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch], words: int = 0) -> Iterator[pa.RecordBatch]:
-    """As _cut, with the remaining text instead of its bytes."""
-    for batch in _cut(batches, words):
-        texts = pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("_kept")], pa.string())
-        at = batch.schema.get_field_index("_kept")
-        yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+def without_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False, length: int = LENGTH, gram: int = GRAM, words: int = 0, passage: int | None = None) -> DataFrame:
+    """Every row of ``docs`` (but its text and columns named like a result) with _kept (the remaining bytes;
+    ``texts``: as text), n_bytes, n_removed, n_spans and n_passages (runs of strings of ``passage`` bytes)."""
+    out = measured(docs, hot, texts, length, gram, words, passage)
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "text" and c not in RESULTS], *RESULTS)
 
 
 def dedup_documents(docs: DataFrame, hot: int = HOT, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
     """The documents with their repeated passages removed, n_chars anew; of a character that is cut in two
     nothing stays. A document of which nothing is left, or no word, goes; one that had no text before stays."""
-    out = without_repeats(docs, hot, True, length, gram, words).withColumnRenamed("_kept", "text")
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = measured(docs, hot, True, length, gram, words, None)
+    out = out.where((F.col("n_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    chars = lambda c: F.when(F.col("n_removed") > 0, F.length("_kept")).otherwise(F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType)
+    return out.select(*[(F.col("_kept") if c == "text" else chars(c) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
