@@ -2,21 +2,21 @@
 
 Fingerprints. 64 bits from the XXH64 of a text's word shingles, repeats included.
 
-Pivots. The reference fingerprints come in ``FAMILIES`` families, all around one base reference. Those of
-family j differ from the base only inside bit block j, by nested masks, so a fingerprint's distance to one
-of them minus its distance to the base moves only with bits of block j. The table of a fingerprint holds
-its distances to all 65 references.
-
-Candidates. Two fingerprints at most ``RADIUS`` bits apart differ inside at most that many blocks; on the
-other families their table entries, relative to the base, have a maximum coordinate difference of zero.
-Each fingerprint is therefore filed under every choice of FAMILIES - RADIUS families by those entries, and
-only pairs filed together are compared: first by the maximum coordinate difference over all references
-(above RADIUS: discarded), then by their exact distance.
-
-Crowded files. A file of more than ``CROWD`` fingerprints is never paired. Its members go another exact
-way: two fingerprints are within two bits if and only if the balls of radius one around them meet, so every
-member is filed under the 65 fingerprints of its ball and joined to the least member of each file. That is
-linear in the members, whatever the file's size.
+Pivots. The reference fingerprints are a base and ``PIVOTS`` others that differ from it in one small block of bits
+each, all blocks apart. The table of a fingerprint holds its distances to all of them. Distances to references drawn
+at random are of little use here: those of any two fingerprints differ by two or less about a third of the time. The
+distance to a pivot above that to the base moves only with the bits of the pivot's block, by at most two a bit.
+
+Candidates. Where two fingerprints are at most two bits apart, so are their distances to every reference, and their
+pivot coordinates (half of the distance above the base's) differ by one step in at most two pivots, or by two steps
+in one. So both are within one step of some coordinate vector. Each fingerprint is filed under its own vector and all
+vectors one step away; only fingerprints filed together are compared. Of these a pair is discarded if its
+maximum coordinate difference over all references is above ``RADIUS``; survivors are verified by exact distance.
+
+Crowded files. A file of more than ``CROWD`` fingerprints is never paired. Its members are filed again by a second
+table, with a pivot for every single bit: vectors one step away then are the fingerprint's ball of radius one, two
+fingerprints are within two bits if and only if their balls meet, and joining every member to the least of a
+file gives the same components. That is linear in the members, whatever the file's size.
 
 Links become components by alternating large and small stars over distinct fingerprints, each round written
 to the shared folder.
@@ -43,8 +43,9 @@ from . import alike
 from .common import discard, stash
 
 SHINGLE, SEED = 3, 42
-FAMILIES, RADIUS, CROWD = 4, 2, 256
-BLOCK = 64 // FAMILIES
+PIVOTS, RADIUS, CROWD = 32, 2, 256
+#: Bits of a pivot's block.
+BLOCK = 64 // PIVOTS
 #: The base reference; any constant would do.
 BASE = 0x9E3779B97F4A7C15
 #: Shingles hashed at a time.
@@ -52,12 +53,14 @@ CHUNK = 1 << 15
 
 
 def references() -> np.ndarray:
-    """The base, then the families one after the other: family j's i-th reference flips the first i+1 bits of block j."""
-    masks = [((1 << (i + 1)) - 1) << (j * BLOCK) for j in range(FAMILIES) for i in range(BLOCK)]
+    """The base, then the pivots: pivot j differs from it in the bits of block j."""
+    masks = [((1 << BLOCK) - 1) << (j * BLOCK) for j in range(PIVOTS)]
     return np.array([BASE, *(BASE ^ m for m in masks)], dtype=np.uint64)
 
 
 REFERENCES = references()
+#: What a step in each pivot's coordinate (0 to BLOCK) adds to the number of a coordinate vector.
+STEPS = np.array([(BLOCK + 1) ** j for j in range(PIVOTS)], np.int64)
 
 
 def distance_table(prints: np.ndarray) -> np.ndarray:
@@ -65,13 +68,12 @@ def distance_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ REFERENCES[None, :]).astype(np.int16)
 
 
-def file_keys(table: np.ndarray) -> list[np.ndarray]:
-    """For every choice of FAMILIES - RADIUS families one key: the entries of these families relative to the
-    base. Neighbouring references of a family differ by one bit, so neighbouring entries differ by one, and
-    the sequence of entries packs into one bit each."""
-    steps = np.diff(np.concatenate([np.zeros((len(table), FAMILIES, 1), np.int16), (table[:, 1:] - table[:, :1]).reshape(len(table), FAMILIES, BLOCK)], axis=2), axis=2)
-    packed = ((steps > 0).astype(np.int64) << np.arange(BLOCK)).sum(axis=2)
-    return [reduce(lambda key, j: (key << BLOCK) | packed[:, j], chosen, np.zeros(len(table), np.int64)) for chosen in combinations(range(FAMILIES), FAMILIES - RADIUS)]
+def files_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, file) for the coordinate vector of every row of a distance table and all vectors one step away."""
+    at = (BLOCK - (table[:, 1:] - table[:, :1])) // 2
+    own, rows = at @ STEPS, np.arange(len(table))
+    down, up = np.nonzero(at > 0), np.nonzero(at < BLOCK)
+    return np.concatenate([rows, down[0], up[0]]), np.concatenate([own, own[down[0]] - STEPS[down[1]], own[up[0]] + STEPS[up[1]]])
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -112,8 +114,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _filed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         prints = frame["print"].to_numpy()
-        for c, key in enumerate(file_keys(distance_table(prints.view(np.uint64)))):
-            yield pd.DataFrame({"choice": np.int32(c), "key": key, "print": prints})
+        rows, files = files_of(distance_table(prints.view(np.uint64)))
+        yield pd.DataFrame({"file": files, "print": prints[rows]})
 
 
 def _linked(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -142,14 +144,14 @@ def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(prints: DataFrame) -> DataFrame:
     """a, b: links between the distinct fingerprints of column ``print`` with the components of all pairs within RADIUS."""
     distinct = prints.select("print").distinct()
-    filed = stash(distinct.mapInPandas(_filed, "choice int, key long, print long"), "filed")
+    filed = stash(distinct.mapInPandas(_filed, "file long, print long"), "filed")
     # sizes first, from counts that add up map-side; no list is built of a crowded file
-    sizes = filed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = stash(sizes, "files")
-    shared = filed.join(sizes.where(F.col("n") <= CROWD), ["choice", "key"])
-    lists = shared.groupBy("choice", "key").agg(F.collect_list("print").alias("prints")).select("prints")
+    shared = filed.join(sizes.where(F.col("n") <= CROWD), "file")
+    lists = shared.groupBy("file").agg(F.collect_list("print").alias("prints")).select("prints")
     near = lists.mapInPandas(_compared, "a long, b long")
-    crowded = filed.join(sizes.where(F.col("n") > CROWD), ["choice", "key"], "left_semi").select("print").distinct()
+    crowded = filed.join(sizes.where(F.col("n") > CROWD), "file", "left_semi").select("print").distinct()
     ball = crowded.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("centre"))
     least = ball.groupBy("centre").agg(F.min("print").alias("b"), F.max("print").alias("_most")).where("b < _most").select("centre", "b")
     met = ball.join(least, "centre").select(F.col("print").alias("a"), "b").where("a != b")
@@ -209,13 +211,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_text").alias("text"))).alias("f")
     rows = stash(alike_groups(docs).groupBy("_root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n")), "grouped")
     firsts = rows.groupBy("_root").agg(first).select(F.col("f.id").alias("_id"), F.col("f.text").alias("_h"))
-    # the narrow side is hashed, so that the texts are neither sorted nor spilled
+    # the narrow side is hashed, so that the texts are neither sorted nor spilled; the row is one column, whatever its names
     one = stash(rows.join(firsts, rows.doc_id.eqNullSafe(firsts._id) & (rows._text == firsts._h)).select("_id", "_h", "n"), "firsts")
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    is_in = lambda part: hashed.doc_id.eqNullSafe(part._id) & (hashed["__h"] == part._h)
+    whole = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    is_in = lambda part: whole.doc_id.eqNullSafe(part._id) & (whole._text == part._h)
     single = one.where("n = 1").hint("shuffle_hash")
-    kept = hashed.join(single, is_in(single), "left_semi")
+    kept = whole.join(single, is_in(single), "left_semi")
     several = one.where("n > 1")
     if not several.isEmpty():
-        kept = kept.unionByName(hashed.join(several, is_in(several), "left_semi").dropDuplicates(["doc_id", "__h"]))
-    return kept.drop("__h")
+        kept = kept.unionByName(whole.join(several, is_in(several), "left_semi").dropDuplicates(["doc_id", "_text"]))
+    return kept.select("_row.*")
