@@ -60,10 +60,21 @@ WITH sized AS (
 ), goal2 AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM goals
 ), goal3 AS (
-  SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM goal2
+  SELECT *, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS rest FROM goal2
+), weighed AS (
+  SELECT *, CASE WHEN size < 64 THEN 1.0::DOUBLE WHEN size < 512 THEN 2.0::DOUBLE ELSE 4.0::DOUBLE END AS x FROM sized
+), class0 AS (
+  SELECT s.source, x, rest, sum(size)::DOUBLE AS words FROM weighed s JOIN goal3 g ON s.source IS NOT DISTINCT FROM g.source GROUP BY s.source, x, rest
+), class1 AS (
+  SELECT *, CASE WHEN sum(words * x) OVER low > 0 THEN (rest - coalesce(sum(words) OVER high, 0)) / sum(words * x) OVER low ELSE 0 END AS c FROM class0
+  WINDOW high AS (PARTITION BY source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low AS (PARTITION BY source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), class2 AS (
+  SELECT source, x, c * x >= 1 AS filled, coalesce(max(CASE WHEN c * x < 1 THEN c END) OVER (PARTITION BY source), 0) AS level,
+    rest - sum(CASE WHEN c * x >= 1 THEN words ELSE 0 END) OVER (PARTITION BY source) AS rest FROM class1
 ), ranked AS (
-  SELECT s.rid, s.doc_id, s.source, s.size, g.source_size, g.target, g.whole, g.rest, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q
-  FROM sized s JOIN goal3 g ON s.source IS NOT DISTINCT FROM g.source
+  SELECT s.rid, s.doc_id, s.source, s.size, g.source_size, g.target, g.whole + filled::BIGINT AS whole, k.rest,
+    CASE WHEN NOT filled AND level * k.x > 0 THEN u / (1 - u) / (level * k.x / (1 - level * k.x)) END AS q
+  FROM weighed s JOIN goal3 g ON s.source IS NOT DISTINCT FROM g.source JOIN class2 k ON s.source IS NOT DISTINCT FROM k.source AND s.x = k.x
 ), summed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
 )
