@@ -1,8 +1,11 @@
 """Pairs of texts that share most of their word shingles, exactly.
 
 Two texts are alike if the Jaccard index of their sets of ``SHINGLE``-word shingles is ``SIMILARITY`` or more.
-A SimHash of 64 bits cannot be filed for that: alike texts differ by about ten bits, and files that are sure
-to hold such pairs would need thousands of keys for each text. The shingles themselves can:
+
+SimHash first. The fingerprints of the sets go through the pivot tables of ``simhash``, and every text is verified
+against one text of the group that its fingerprint is linked to. That joins most copies. But alike texts may differ
+by ten bits and more of 64, and files that are sure to hold such pairs would need thousands of keys for each
+text. The shingles themselves find the rest:
 
 1. Order. In any one order of all shingles, two alike texts of n shingles or more have one in common among
    the first n - ceil(SIMILARITY n) + 1 of each (prefix filtering). Shingles are ordered by hash, except that
@@ -11,8 +14,9 @@ to hold such pairs would need thousands of keys for each text. The shingles them
 2. Files. Texts are filed under the shingles of their prefix. In files of up to ``CROWD`` texts all pairs of
    fitting sizes are candidates, and each is verified against both whole sets.
 3. In crowded files every text is first paired with the one that has the least before the file's shingle in
-   its prefix (the fewest rare shingles). Only pairs that the components of these links leave apart follow,
-   all of them: pairs within a component could not change it.
+   its prefix (the fewest rare shingles). Only pairs that the components of all these links leave apart follow,
+   all of them, each in the first of its files: pairs within a component could not change it. So a crowd of copies
+   costs no more than its size; what is left are texts just below the similarity, which must be compared.
 4. A pair is no candidate where the sizes, or the shingles that are left behind the first common one, are
    too few for the similarity, or where more bits of the sets' maps differ than shingles may. A bit of a map
    is the parity of the shingles that fall on it, so no more bits differ than shingles do.
@@ -39,10 +43,13 @@ COMMON, CROWD = 64, 64
 #: Shingles that are put last, at most; more of them than this keep their places by hash.
 LATE = 1 << 18
 #: Parts that the members of a crowded file are dealt into.
-SALTS = 32
+SALTS = 8
+#: Of a text's crowded files so many are remembered to tell which of a pair's files comes first; more only repeat pairs.
+FIRST = 64
 #: Longs of 64 bits in the map of a set.
 MAPS = 4
-VOCABULARY = 1 << 20
+#: Words whose hashes a worker keeps.
+VOCABULARY = 1 << 17
 _words: dict[bytes, int] = {}
 
 
@@ -80,6 +87,12 @@ def parity_maps(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def set_print(own: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if set in over half of the hashes (signed)."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def prefix_size(n: int) -> int:
     return n - -(-n * SIMILARITY.numerator // SIMILARITY.denominator) + 1
 
@@ -99,18 +112,19 @@ def words_key(text: bytes | None) -> int:
 
 
 def _prefixes(late: np.ndarray):
-    """(..., _t) batches to (..., print, n, maps, prefix), the last two as arrays; ``late`` are the shingles that come last, in order."""
+    """(..., _t) batches to (..., print, n, simhash, maps, prefix), the last two as arrays; ``late`` are the shingles that come last, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_hash = np.argsort(late)
         sorted_ = late[by_hash]
         for batch in batches:
-            prints, sizes, maps, found = [], [], [], []
+            prints, sizes, hashes, maps, found = [], [], [], [], []
             for t in batch.column("_t"):
                 data = t.as_py()
                 own = shingle_set(data)
                 p = prefix_size(len(own))
                 maps.append(parity_maps(own))
+                hashes.append(set_print(own))
                 if len(late):
                     at = np.minimum(np.searchsorted(sorted_, own), len(late) - 1)
                     is_late = sorted_[at] == own
@@ -120,8 +134,8 @@ def _prefixes(late: np.ndarray):
                 sizes.append(len(own))
                 found.append(own[:p])
             names = [c for c in batch.schema.names if c != "_t"]
-            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, "print", "n", "maps", "prefix"])
+            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, "print", "n", "simhash", "maps", "prefix"])
 
     return work
 
@@ -173,7 +187,7 @@ def _fitting():
 
 def _pairs(files: DataFrame, other: DataFrame) -> DataFrame:
     """Pairs of a member of ``files`` and one of ``other`` of the same file."""
-    renamed = other.select("shingle", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), *[F.col(c).alias(c + "_b") for c in ("root", "salt", *[f"map{i}" for i in range(MAPS)]) if c in other.columns])
+    renamed = other.select("shingle", F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), *[F.col(c).alias(c + "_b") for c in ("root", "salt", "before", *[f"map{i}" for i in range(MAPS)]) if c in other.columns])
     on = ["shingle", "salt"] if "salt" in files.columns else ["shingle"]
     if "salt" in files.columns:
         renamed = renamed.withColumnRenamed("salt_b", "salt")
@@ -194,14 +208,14 @@ def _alike(rows: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
-def links(docs: DataFrame, components) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, near, components) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _text, print for every row; a, b: links between prints with the components of all alike pairs).
 
-    ``components`` turns links into (a, root).
+    ``near`` turns fingerprints (column print) into links a, b, and ``components`` links into (a, root).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("_t"))
-    schema = f"doc_id {kind}, _text long, print long, n int, maps array<long>, prefix array<long>"
+    schema = f"doc_id {kind}, _text long, print long, n int, simhash long, maps array<long>, prefix array<long>"
     first = stash(rows.mapInArrow(_prefixes(np.zeros(0, np.int64)), schema), "prefixes")
     prints = stash(first.select("doc_id", "_text", "print"), "prints")
     chosen = stash(prints.groupBy("print").agg(F.min("_text").alias("_h")), "chosen")
@@ -210,8 +224,14 @@ def links(docs: DataFrame, components) -> tuple[DataFrame, DataFrame]:
     late = np.array([r.shingle for r in reversed(counts.orderBy(F.desc("m"), "shingle").limit(LATE).collect())], np.int64)
     discard(first)
 
-    own = rows.mapInArrow(_prefixes(late), schema).groupBy("print").agg(F.first(F.struct("n", "maps", "prefix")).alias("f"))
-    texts = stash(own.select("print", "f.n", "f.maps", "f.prefix"), "own")
+    own = rows.mapInArrow(_prefixes(late), schema).groupBy("print").agg(F.first(F.struct("n", "simhash", "maps", "prefix")).alias("f"))
+    texts = stash(own.select("print", "f.n", "f.simhash", "f.maps", "f.prefix"), "own")
+    # SimHash: each text with the least of its group of linked fingerprints
+    groups = components(near(texts.select(F.col("simhash").alias("print")))).select(F.col("a").alias("_of"), F.col("root").alias("_group"))
+    grouped = stash(texts.select("print", "simhash").join(groups, F.col("simhash") == F.col("_of"), "left").select("print", F.coalesce("_group", "simhash").alias("_group")), "fingerprints")
+    heads = grouped.groupBy("_group").agg(F.min("print").alias("a"), F.max("print").alias("_last")).where("a < _last").select("_group", "a")
+    hashed = grouped.join(heads, "_group").where("a != print").select("a", F.col("print").alias("b"))
+
     spread = texts.select("print", "n", F.posexplode("prefix").alias("pos", "shingle"))
     sizes = stash(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "files")
     filed = stash(spread.join(sizes, "shingle"), "filed")
@@ -223,15 +243,18 @@ def links(docs: DataFrame, components) -> tuple[DataFrame, DataFrame]:
     least = F.min(F.struct("pos", "print", "n", *[f"map{i}" for i in range(MAPS)])).alias("f")
     pivots = crowded.groupBy("shingle").agg(least).select("shingle", F.col("f.print").alias("print"), F.col("f.n").alias("n"), F.col("f.pos").alias("pos"), *[F.col(f"f.map{i}").alias(f"map{i}") for i in range(MAPS)])
     hubs = _pairs(crowded, pivots).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = _alike(rows, chosen, _bounded(pairs).union(hubs).distinct())
+    found = _alike(rows, chosen, _bounded(pairs).union(hubs).union(hashed).distinct())
     if not crowded.isEmpty():
         roots = components(found).withColumnRenamed("a", "print")
         crowded = stash(crowded.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "crowded")
         mixed = crowded.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
-        apart = crowded.join(mixed, "shingle", "left_semi")
+        apart = stash(crowded.join(mixed, "shingle", "left_semi"), "apart")
+        firsts = apart.groupBy("print").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "shingle"))), 1, FIRST).alias("_firsts"))
+        before = F.transform(F.filter("_firsts", lambda f: f.pos < F.col("pos")), lambda f: f.shingle)
+        apart = apart.join(firsts, "print").withColumn("before", before).drop("_firsts")
         salted = apart.withColumn("salt", F.pmod(F.hash("print"), F.lit(SALTS)))
         dealt = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rest = _pairs(salted, dealt).where("a < b and root != root_b")
+        rest = _pairs(salted, dealt).where("a < b and root != root_b and not arrays_overlap(before, before_b)")
         found = found.union(_alike(rows, chosen, _bounded(rest)))
     discard(filed)
     discard(texts)

@@ -187,8 +187,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def alike_groups(docs: DataFrame) -> DataFrame:
     """doc_id, _text, _root for every row of ``docs``: groups of texts that share four fifths of their five-word
-    shingles, whatever their fingerprints (see ``alike``)."""
-    prints, found = alike.links(docs, components)
+    shingles. Fingerprints of these go through the pivot tables and are verified; ``alike`` adds what they miss."""
+    prints, found = alike.links(docs, links, components)
     roots = components(found).select(F.col("a").alias("_p"), "root")
     return prints.join(roots, F.col("print") == F.col("_p"), "left").select("doc_id", "_text", F.coalesce("root", "print").alias("_root"))
 
