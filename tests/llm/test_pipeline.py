@@ -11,9 +11,10 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from trellis.llm.suffixes import LENGTH, united
+from trellis.llm.suffixes import united
 
-from .test_operators import brute_print
+from .test_alike import components
+from .test_passages import brute as cut_passages
 
 
 def rows():
@@ -34,35 +35,35 @@ def good(text):
 
 
 def one_of_each(docs):
-    prints, parent = [brute_print(d[1]) for d in docs], list(range(len(docs)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(docs)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return [d for i, d in enumerate(docs) if root(i) == i]
+    """Similarity of four fifths on five-word shingles, every pair."""
+    roots = components([d[1] for d in docs])
+    return [d for i, d in enumerate(docs) if roots[i] == i]
 
 
 def without_passages(docs):
-    data = [d[1].encode() for d in docs]
-    seen = Counter(x[i : i + LENGTH] for x in data for i in range(len(x) - LENGTH + 1))
+    """Repeated strings of 200 bytes, in runs of 50 words or 400 bytes."""
     out = []
-    for d, x in zip(docs, data):
-        kept, at = b"", 0
-        for a, b in united([(i, i + LENGTH) for i in range(len(x) - LENGTH + 1) if seen[x[i : i + LENGTH]] > 1]):
-            kept, at = kept + x[at:a], b
-        text = (kept + x[at:]).decode("utf-8", "ignore")
+    for d, text in zip(docs, cut_passages([d[1].encode() for d in docs], 200, 50)):
         if text.split():
             out.append((d[0], text, d[2], d[3], len(text)))
     return out
 
 
+def chances(sizes, rest):
+    """Inclusion probability by weight (by length 1, 2, 4), heaviest class first; one of those that are taken whole."""
+    words = Counter()
+    for n in sizes:
+        words[1 if n < 64 else 2 if n < 512 else 4] += n
+    whole, p = set(), {}
+    while True:
+        open_ = {x: w for x, w in words.items() if x not in whole}
+        level = (rest - sum(words[x] for x in whole)) / sum(x * w for x, w in open_.items()) if any(open_.values()) else 0
+        more = {x for x in open_ if level * x >= 1}
+        if not more:
+            return {x: 1 if x in whole else level * x for x in words}, rest - sum(words[x] for x in whole)
+        whole.add(max(more))
+
+
 def mixed(docs):
     size = {d[0]: len(d[1].encode().split()) for d in docs}
     of = defaultdict(list)
@@ -82,11 +83,19 @@ def mixed(docs):
     target |= {s: level * weight[s] for s in open_}
     out = []
     for s in order:
-        copies, want, upto = math.floor(target[s] / total[s]), 0, 0
-        want = target[s] - copies * total[s]
-        for d in sorted(of[s], key=lambda d: int(hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()[:12], 16)):
+        copies = math.floor(target[s] / total[s])
+        p, want = chances([size[d[0]] for d in of[s]], target[s] - copies * total[s])
+        ranked = []
+        for d in of[s]:
+            u = (int(hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            chance = p[1 if size[d[0]] < 64 else 2 if size[d[0]] < 512 else 4]
+            out += [d] * (copies + (chance == 1))
+            if 0 < chance < 1:
+                ranked.append((u / (1 - u) / (chance / (1 - chance)), d))
+        upto = 0
+        for _, d in sorted(ranked):
             upto += size[d[0]]
-            out += [d] * (copies + (want > 0 and upto - size[d[0]] / 2 <= want))
+            out += [d] * (upto - size[d[0]] / 2 <= want)
     return out
 
 
