@@ -6,15 +6,18 @@ from the back: all pieces but the first fill a sequence. A piece of full length
 Plan. What is left to pack has fewer distinct lengths than a sequence has tokens, so it is planned on the
 driver from the histogram of lengths alone (``capacity`` counts, whatever the number of documents):
 
-1. Lengths above ``LARGE`` of a sequence are cut into at most ``GROUPS`` groups of equal cardinality, and
-   each is rounded up to its group's greatest.
+1. Large lengths are cut into at most ``GROUPS`` groups of equal cardinality, and each is rounded up to its
+   group's greatest.
 2. Over these few sizes the configurations of a sequence are optimised: a linear programme over patterns,
    solved by column generation with a knapsack as pricing; its solution is rounded down.
-3. Actual documents replace the rounded sizes, which frees what rounding up had wasted. A sequence that they
-   leave with more room than ``slack`` is not kept; its documents join those to be placed by best fit. The
-   plan is made for each of ``SLACKS`` and the one with the fewest sequences counts.
-4. Small and remaining documents go, longest first, to the sequence with the least room that holds them; full runs of
-   equal sequences are filled at once. New sequences open when none has room.
+3. Actual documents replace the rounded sizes, which frees what rounding up had wasted. Every configured
+   sequence is kept.
+4. Small documents, and what rounding the programme down has left, go, longest first, to the sequence with the
+   least room that holds them; full runs of equal sequences are filled at once. New sequences open when none has room.
+
+What counts as large decides how much is configured and how much is fitted. The plan is made for each share of a
+sequence in ``LARGE``, until one is near the least possible number, and the one with the fewest sequences is used: where lengths are diverse that is one half
+(a large document heads each configuration and rounding wastes nothing), with few distinct lengths a lower one.
 
 A plan row says: of the pieces with this length, those ranked [first, last) go ``each`` to a sequence,
 starting at this sequence and offset. The rows are bounded by lengths and patterns, not by documents.
@@ -42,9 +45,11 @@ from pyspark.sql import functions as F
 
 from .common import stash, text_of
 
-CAPACITY, END_ID, GROUPS, LARGE = 1024, 2, 80, 0.2
-#: Tokens of room that configured sequences may keep for small documents; the best of these is taken.
-SLACKS = (1024, 32, 16, 8, 4, 2, 1, 0)
+CAPACITY, END_ID, GROUPS = 1024, 2, 80
+#: Shares of a sequence above which a length is large.
+LARGE = (1 / 2, 1 / 3, 1 / 5, 1 / 8)
+#: Above the least possible number of sequences by this share (and two) another share of LARGE is tried.
+NEAR = 0.001
 _loaded: dict = {}
 
 
@@ -124,13 +129,18 @@ def grouped(histogram: dict[int, int], capacity: int, groups: int, large: float)
     return sizes, members, patterns
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> tuple[list[Row], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> tuple[list[Row], int]:
     """(length, first, last, each, sequence, offset) rows and the number of sequences. Lengths are 1..capacity."""
-    sizes = grouped(histogram, capacity, groups, large)
-    return min((placed(histogram, capacity, *sizes, slack) for slack in SLACKS), key=lambda p: p[1])
+    bound, found = -(-sum(x * n for x, n in histogram.items()) // capacity), None
+    for share in large:
+        new = placed(histogram, capacity, *grouped(histogram, capacity, groups, share))
+        found = new if found is None or new[1] < found[1] else found
+        if found[1] - bound <= max(2, NEAR * bound):
+            break
+    return found
 
 
-def placed(histogram: dict[int, int], capacity: int, sizes: list[int], runs_of: list[list], patterns: list, slack: int) -> tuple[list[Row], int]:
+def placed(histogram: dict[int, int], capacity: int, sizes: list[int], runs_of: list[list], patterns: list) -> tuple[list[Row], int]:
     rows: list[Row] = []
     used = Counter()  # pieces of each length that have a place
     opened = 0
@@ -184,14 +194,12 @@ def placed(histogram: dict[int, int], capacity: int, sizes: list[int], runs_of:
                     want -= take
                     if not members[k][0][1]:
                         members[k].pop(0)
-            room = capacity - sum(x * per for x, per in now)
-            if room <= slack:
-                room = capacity
-                for x, per in now:
-                    place(x, per, opened, run, room)
-                    room -= x * per
-                rooms[room].append((opened, run))
-                opened += run
+            room = capacity
+            for x, per in now:
+                place(x, per, opened, run, room)
+                room -= x * per
+            rooms[room].append((opened, run))
+            opened += run
             times -= run
     # 4. everything that has no place yet, longest first, by best fit
     for length in range(capacity - 1, 0, -1):
@@ -288,6 +296,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = cut.join(offsets.drop("_n"), ["length", "_task"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # offsets grow with the tasks, so they are dealt by key and not sent to all
+    ranked = cut.join(offsets.drop("_n").hint("shuffle_hash"), ["length", "_task"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     kind = cut.schema["doc_id"].dataType.simpleString()
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(seat, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
