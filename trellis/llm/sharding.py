@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import discard, stash, text_of
 
 ROUNDS = 6
 
@@ -58,20 +59,19 @@ def feistel(numbers: np.ndarray, n: int, seed: int, inverse: bool = False) -> np
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, _number: one range sort of narrow rows; a running count of its partitions
-    (as many as shuffle partitions, whatever the rows) gives the global numbers."""
+    """doc_id, size, text_crc32, _number, _total: one range sort of narrow rows; the row counts of its partitions
+    (as many as shuffle partitions, whatever the rows), added up, give the first number of each."""
     slim = docs.select("doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
     slim = stash(slim, "sizes")
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = stash(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    counts = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).count().collect()
-    offsets, total = {}, 0
-    for part, rows in sorted(counts):
-        offsets[part], total = total, total + rows
-    first = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    number = F.element_at(first, F.shiftright("_at", 33)).cast("long") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return ranged.select("doc_id", "size", "text_crc32", number.alias("_number"), F.lit(total).cast("long").alias("_total"))
+    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stash(ranged.select("doc_id", "size", "text_crc32", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth")), "ranged")
+    discard(slim)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    firsts = stash(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(W.partitionBy()).alias("_total")), "firsts")
+    # at most one row for each partition: its size is known and bounded
+    return ranged.join(F.broadcast(firsts), "_part").select("doc_id", "size", "text_crc32", (F.col("_first") + F.col("_nth")).alias("_number"), "_total")
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
