@@ -36,7 +36,10 @@ from .common import new_path, stash
 MAGIC = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 DATE = "2024-01-01T00:00:00Z"
-SAMPLE, DICTIONARY_BYTES, LEVEL = 500, 64 << 10, 3
+#: The dictionary, a model of the payloads, is trained on so many of them, of each at most so many characters; what
+#: archives hold is all of every payload whatever the dictionary is.
+SAMPLE, SAMPLE_CHARS = 500, 16384
+DICTIONARY_BYTES, LEVEL = 64 << 10, 3
 #: Payload bytes after which a task starts another archive.
 ARCHIVE_BYTES = 16 << 20
 RECORD = "archive string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -177,11 +180,14 @@ def roles(pages: DataFrame) -> DataFrame:
 
 
 def dictionary_of(pages: DataFrame) -> bytes:
-    """A dictionary from the payloads of at most SAMPLE pages, cut to 16 KB each; none if they are too few."""
+    """A dictionary from a bounded sample: SAMPLE pages of least digest, SAMPLE_CHARS of each; none if they are too
+    few. Digests alone are ranked; then only the sample's texts are read out."""
     import zstandard
 
-    rows = pages.where("html IS NOT NULL").select(F.substring("html", 1, 16384).alias("h"), F.xxhash64("page_id").alias("k")).orderBy("k").limit(SAMPLE).collect()
-    samples = [r.h.encode() for r in rows if r.h]
+    drawn = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("k"))
+    keys = [r.k for r in drawn.orderBy("k").limit(SAMPLE).collect()]
+    rows = pages.where("html IS NOT NULL").where(F.xxhash64("page_id", "html").isin(keys)).select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).limit(SAMPLE).collect() if keys else []
+    samples = sorted(r.h.encode() for r in rows if r.h)
     if len(samples) < 20:
         return b""
     try:
