@@ -59,9 +59,13 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str | None = None, limit
     cache_dir = cache_dir or new_path(spark, "token_cache")
     content = F.unhex(F.sha2(text_of(), 256))
     slim = stash(docs.select("doc_id", content.alias("content"), F.octet_length(text_of()).cast("long").alias("n_bytes")), "digests")
-    # of each distinct miss one document, the one of the least doc_id, and how many rows repeat it
-    misses = slim.join(cached(spark, cache_dir, version), "content", "left_anti").groupBy("content", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    misses = misses.groupBy("content").agg(F.min(F.struct("doc_id", "n")).alias("m")).select(F.col("content").alias("_c"), F.col("m.doc_id").alias("_d"), F.col("m.n").alias("n"))
+    # of each distinct digest one document, the one of the least doc_id, and how many rows repeat that: the copies of a
+    # text are added up in the tasks that read them, so that but one row of each task is dealt by the digest
+    firsts = slim.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("m"))
+    firsts = firsts.select(F.col("content").alias("_c"), F.col("m.doc_id").alias("_d"))
+    misses = firsts.join(cached(spark, cache_dir, version), F.col("_c") == F.col("content"), "left_anti")
+    again = slim.groupBy("content", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("content").alias("_again"), F.col("doc_id").alias("_id"), "n")
+    misses = misses.join(again, (F.col("_c") == F.col("_again")) & F.col("_d").eqNullSafe(F.col("_id")), "left").select("_c", "_d", F.coalesce("n", F.lit(1)).alias("n"))
     misses = stash(misses, "misses")
     if not misses.isEmpty():
         # dealt by (content, id), so copies do not meet; the narrow side is hashed, so texts are not sorted
