@@ -1,44 +1,48 @@
 """URL filter [native]: host and path rules, then logistic regression on hashed character n-grams.
 
-The model is trained here, from a small labelled URL table that ``labelled`` holds (at most ``MAX_LABELLED``
-rows are used, in order of url), by full-batch gradient descent written as one SQL aggregate over that
-table; only its ``DIMENSIONS`` weights reach the driver, and every url is scored by an expression.
+The model is trained here, from a small labelled URL table that ``labelled`` builds from ordinary words of unwanted
+and wanted sites (at most ``MAX_LABELLED`` rows are used, in order of url), by full-batch gradient descent with
+momentum, written as one SQL aggregate over that table; only its ``DIMENSIONS`` weights reach the driver, and
+every url is scored by an expression.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, which no rule fits, and is
-judged by the model's bias; repeated rows are judged alike; empty table: no rows; columns other than
-``page_id`` and ``url`` are ignored.
+judged by the model's bias; repeated rows are judged alike; empty table: no rows, and a model trained on no rows
+allows all; columns other than ``page_id`` and ``url`` are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash
 
-DIMENSIONS, STEPS, RATE, DECAY, MAX_LABELLED = 4096, 300, 12.0, 1e-4, 2000
+DIMENSIONS, STEPS, RATE, MOMENTUM, DECAY, MAX_LABELLED = 8192, 80, 12.0, 0.9, 1e-4, 2400
 GRAMS = (3, 4)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: A small labelled table: names of invented unwanted and wanted sites; each is seen at SHAPES of urls.
-BLOCKED = """casino-royal grand-casino casino-bonus lucky-casino online-casino win-casino bets-today sports-bets best-bets free-betting
-free-spins free-money free-prize win-free pills-online discount-pills cheap-meds buy-pills cheap-watches cheap-loans cheap-deals
-adult-cams xxx-adult adult-dating hot-adult x-adult adult-video link-farm content-farm spam-links click-farm spam-blog spam-mail
-track-ads ads-server ad-tracker pixel-track ads-click web-track ads-farm payday-loans fast-loans warez-crack jackpot-win bet-win"""
-ALLOWED = """daily-news library recipes university weather museum garden history project travel science poetry maps theatre northern
-nation station edition thesaurus weaving thicket things ethics orchestra mathematics engineering kitchen football health school
-archive forum thother thition threading therein tionther thenthe ingther thereal theory others thunder thirst thatcher
-action lesson hearing sharing bather wether there-on reading-room city-hall open-data
-mountain-view river-walk book-club garden-tools music-school guide-museum notes-chemistry hiking-trail art-history film-review
-local-paper world-atlas old-town north-sea family-tree bird-watch tea-time open-air city-guide home-cooking
-wood-craft star-map science-fair green-house train-times spring-festival winter-sport summer-camp language-course code-review
-ththou thble thtion therthe ththor thingth thentia tiontha thshe thwhen ththenti thesti thousand theoutth hathbles
-ouththe thwh ingble shthre edthou therinth thetherent thintherin thouthes thwhati thebleth thentha theathe theshti thonthe
-thandther thestther whthe theatwh onthre inther thhewh tiothth theredth threthe shtheth ntthe thlythe thtith thouble"""
-#: More unwanted names: every first with every second part, but for those that are kept to measure the model by.
-FIRST, SECOND = "free best cheap win hot mega online".split(), "casino bets pills spam ads slots adult farm track loans".split()
-HELD_OUT = ("free-bets", "cheap-pills", "best-casino")
-SHAPES = ("http://www.{}.example.com/{}/{}", "https://{}.example.net/{}/{}.html", "https://m.{}.example.org/{}/{}/", "http://blog.{}.example.com/{}/{}?page=2", "https://{}.test/{}/{}#top")
-LANGUAGES = ("en", "de", "fr", "es")
+#: Words that name unwanted sites.
+UNWANTED = [
+    "casino", "poker", "bets", "betting", "slots", "jackpot", "lottery", "roulette", "pills", "meds", "viagra", "loans", "payday", "replica", "warez", "crack", "keygen", "adult",
+    "xxx", "cams", "escort", "hookup", "spam", "ads", "adserver", "clicks", "tracker", "tracking", "popup", "banner", "linkfarm", "giveaway", "prizes", "coupons", "bonus", "deals",
+]
+#: What unwanted names are put together with.
+LURES = ["free", "best", "cheap", "win", "hot", "mega", "fast", "easy", "online", "vip", "lucky", "instant"]
+#: Words that name wanted sites.
+WANTED = [
+    "news", "library", "university", "museum", "garden", "history", "science", "travel", "recipes", "weather", "school", "music", "theatre", "health", "football", "council", "river",
+    "mountain", "book", "film", "radio", "journal", "kitchen", "hospital", "archive", "forum", "encyclopedia", "maps", "research", "language", "dictionary", "chemistry", "physics",
+    "biology", "gallery", "craft", "bicycle", "railway", "airport", "hotel", "farming", "weaving", "poetry", "philosophy", "astronomy", "ocean", "forest", "village", "parliament",
+    "economics", "statistics", "engineering", "orchestra", "painting", "sailing", "climbing", "gardening", "northern", "southern", "eastern", "western", "thesis", "theory",
+    "nation", "station", "action", "lesson", "hearing", "thunder", "whether", "another", "together", "through", "thinking", "shelter", "winter", "summer", "autumn", "spring",
+]
+#: What wanted names are put together with.
+PLACES = ["city", "old", "open", "north", "local", "daily", "green", "royal", "new", "public", "lake", "home"]
+#: Names that measure the model and are no part of the table, in either order of their words.
+HELD_OUT = {"free-bets", "cheap-pills", "casino-win", "win-casino", "best-casino", "spam-farm", "ads-track", "adult-x", "museum-guide", "garden-walk"}
+#: Urls at which every name is seen, so that none of their parts tells wanted from unwanted.
+SHAPES = ("http://www.{}.com/{}", "https://{}.net/page/{}.html", "https://m.{}.org/{}/", "http://blog.{}.example.com/de/{}?page=2", "https://www.{}.example.com/en/{}#top")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -72,44 +76,53 @@ def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column
     return F.array_distinct(F.concat(*grams("host", host), *grams("path", path)))
 
 
+def names(words: list[str], others: list[str], each: int) -> list[str]:
+    """Every word alone, and with ``each`` of the others before or behind it."""
+    out = list(words)
+    for k, word in enumerate(words):
+        for j in range(each):
+            other = others[(k + len(others) // each * j) % len(others)]
+            out.append(f"{other}-{word}" if (k + j) % 2 else f"{word}-{other}")
+    return [n for n in out if n not in HELD_OUT]
+
+
 def labelled(spark: SparkSession) -> DataFrame:
-    """url, bad (1 or 0): every name at every shape of url, languages and numbers taken in turn."""
-    urls = []
-    crossed = [f"{a}-{b}" for a in FIRST for b in SECOND if f"{a}-{b}" not in HELD_OUT]
-    for bad, names in ((1, BLOCKED.split() + crossed), (0, ALLOWED.split())):
-        for k, name in enumerate(names):
-            urls += [(SHAPES[(k + j) % len(SHAPES)].format(name, LANGUAGES[(k // len(SHAPES) + j) % len(LANGUAGES)], 37 * k * k % 9973 + j), bad) for j in range(len(SHAPES))]
+    """url, bad (1 or 0): every name at each shape of url."""
+    urls = [(shape.format(name, 37 * k % 991), bad) for bad, some in ((1, names(UNWANTED, LURES, 5)), (0, names(WANTED, PLACES, 2))) for k, name in enumerate(some) for shape in SHAPES]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {bad})" for u, bad in urls) + " AS t(url, bad)")
 
 
-def train(table: DataFrame, dimensions: int = DIMENSIONS, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> list[float]:
+def train(table: DataFrame, dimensions: int = DIMENSIONS, steps: int = STEPS, rate: float = RATE, momentum: float = MOMENTUM, decay: float = DECAY) -> list[float]:
     """Weights, the last one the bias. A feature of a url with n features counts 1 / sqrt(n)."""
     rows = table.where("url IS NOT NULL AND bad IS NOT NULL").orderBy("url", "bad").limit(MAX_LABELLED)
     rows = rows.select(features(*parts(F.col("url")), dimensions).alias("f"), F.col("bad").cast("double").alias("y"))
-    rows.createOrReplaceTempView("_url_rows")
     # Seen by rows, and by features as lists of (row, value); kept as a table, else each step would make it anew.
-    seen = rows.sparkSession.sql(f"""
-        WITH numbered AS (SELECT f, y, CAST(row_number() OVER (ORDER BY y, f) - 1 AS INT) AS r, 1 / sqrt(CAST(size(f) AS DOUBLE)) AS v FROM _url_rows),
+    seen = rows.sparkSession.sql(
+        f"""
+        WITH numbered AS (SELECT f, y, CAST(row_number() OVER (ORDER BY y, f) - 1 AS INT) AS r, 1 / sqrt(CAST(size(f) AS DOUBLE)) AS v FROM {{url_rows}}),
         fwd AS (SELECT array_sort(collect_list(struct(r, f, y, v))) AS rows FROM numbered),
         flat AS (SELECT d, sort_array(collect_list(struct(r, v))) AS at FROM numbered LATERAL VIEW explode(f) AS d GROUP BY d),
         inv AS (SELECT map_from_entries(collect_list(struct(d, at))) AS m FROM flat)
-        SELECT rows, transform(sequence(0, {dimensions - 1}), d -> coalesce(try_element_at(m, d), CAST(array() AS ARRAY<STRUCT<r: INT, v: DOUBLE>>))) AS by FROM fwd CROSS JOIN inv""")
-    # One step fills the residuals, the next moves the weights.
+        SELECT rows, transform(sequence(0, {dimensions - 1}), d -> coalesce(try_element_at(m, d), CAST(array() AS ARRAY<STRUCT<r: INT, v: DOUBLE>>))) AS by FROM fwd CROSS JOIN inv""",
+        url_rows=rows,
+    )
+    # One step fills the residuals, the next moves the weights; m is what is left of the last move.
     found = stash(seen, "labelled").selectExpr(f"""
         aggregate(sequence(1, {2 * steps}),
-            named_struct('w', transform(sequence(0, {dimensions}), d -> 0D), 'e', transform(rows, x -> 0D)),
+            named_struct('w', transform(sequence(0, {dimensions}), d -> 0D), 'm', transform(sequence(0, {dimensions}), d -> 0D), 'e', transform(rows, x -> 0D)),
             (a, s) -> IF(s % 2 = 1,
-                named_struct('w', a.w, 'e', transform(rows, x -> x.y - 1 / (1 + exp(-(aggregate(x.f, a.w[{dimensions}], (t, d) -> t + x.v * a.w[d])))))),
-                named_struct('w', concat(
-                    transform(by, (at, d) -> IF(size(at) = 0, 0D, a.w[d] + {rate}D * (aggregate(at, 0D, (t, p) -> t + p.v * a.e[p.r]) / size(rows) - {decay}D * a.w[d]))),
-                    array(a.w[{dimensions}] + {rate}D * aggregate(a.e, 0D, (t, e) -> t + e) / size(rows))), 'e', a.e))
-        ).w AS w""").first()
+                named_struct('w', zip_with(a.w, a.m, (w, m) -> w + m), 'm', a.m,
+                    'e', transform(rows, x -> x.y - 1 / (1 + exp(-(aggregate(x.f, a.w[{dimensions}] + a.m[{dimensions}], (t, d) -> t + x.v * (a.w[d] + a.m[d]))))))),
+                named_struct('w', a.w, 'm', concat(
+                    transform(by, (at, d) -> IF(size(at) = 0, 0D, {momentum}D * a.m[d] + {rate}D * (aggregate(at, 0D, (t, p) -> t + p.v * a.e[p.r]) / greatest(size(rows), 1) - {decay}D * a.w[d]))),
+                    array({momentum}D * a.m[{dimensions}] + {rate}D * aggregate(a.e, 0D, (t, e) -> t + e) / greatest(size(rows), 1))), 'e', a.e))
+        ) AS a""").selectExpr("zip_with(a.w, a.m, (w, m) -> w + m) AS w").first()
     return list(found.w) if found.w else [0.0] * (dimensions + 1)
 
 
 def score(found: Column, weights: list[float]) -> Column:
     """Log-odds that a url with these features is unwanted."""
-    w = F.array(*[F.lit(x) for x in weights])
+    w = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one constant, folded when the query is planned
     return F.lit(weights[-1]) + F.aggregate(found, F.lit(0.0), lambda t, d: t + F.get(w, d)) / F.sqrt(F.greatest(F.size(found), F.lit(1)))
 
 
