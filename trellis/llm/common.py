@@ -19,9 +19,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, one for this session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where unset, a local run gets one of its
+    own; on a cluster there is no folder to fall back on."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trellis-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -88,8 +88,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    hosts = stash(host_verdicts(measure(docs)), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
-    measured = measure(docs, ["struct(*) AS _row"])
-    passed = measured.where(~F.col("base_failed") & (F.col("_seq") >= 0)).select("source", "_row")
+    """The documents that pass, with all their columns. Each text is measured once: rows and measurements are written,
+    hosts are judged from the measurements alone, and no text is shuffled."""
+    measured = stash(measure(docs, ["struct(*) AS _row"]).drop("_seq"), "measured")
+    hosts = stash(host_verdicts(measured), "hosts").where(~F.col("host_ok")).select(F.col("source").alias("_host"))
+    passed = measured.where(~F.col("base_failed")).select("source", "_row")
     return passed.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
