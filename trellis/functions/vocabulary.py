@@ -9,8 +9,11 @@ NODE_TYPES = {
     "医案": "MedicalCase", "穴位": "Acupoint", "治法": "TreatmentMethod", "时间点": "TimePoint", "来源": "Source", "证据": "Evidence",
 }
 # Edge types.
-EDGE_TYPES = """具有饮片 包含成分 提取自 具有品种 属于药材 经过工艺 适用于 储存时间 具有性状 观察于 具有功效 具有性味 归于经脉 治疗病证 关联药材
-关联治法 关联证候 关联症状 相互作用 相似于 父类 子类 来源于 派生自 由证据支持 组成药材 使用方剂 取用穴位 采用治法 记载于医案""".split()
+EDGE_TYPES = [
+    "具有饮片", "包含成分", "提取自", "具有品种", "属于药材", "经过工艺", "适用于", "储存时间", "具有性状", "观察于",
+    "具有功效", "具有性味", "归于经脉", "治疗病证", "关联药材", "关联治法", "关联证候", "关联症状", "相互作用", "相似于",
+    "父类", "子类", "来源于", "派生自", "由证据支持", "组成药材", "使用方剂", "取用穴位", "采用治法", "记载于医案",
+]
 # The node types an edge may lead to, in the order in which they are tried.
 EDGE_TARGETS = {
     "组成药材": ("药材", "饮片"), "适用于": ("病证",), "使用方剂": ("方剂",), "取用穴位": ("穴位",), "采用治法": ("治法",),

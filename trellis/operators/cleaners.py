@@ -10,22 +10,24 @@ from ..functions.vocabulary import BRANDS, WHOLE_NAMES
 from ..sources.readers import BadInput
 
 # What each relation of the triples becomes: decision, type of head, type of tail, edge type.
-TRIPLE_RELATIONS = """证候 mapped_edge 病证 病证 关联证候
-中药 mapped_edge 病证 药材 关联药材
-治法 mapped_edge 病证 治法 关联治法
-功能 mapped_edge 药材 功效 具有功效
-归经 mapped_edge 药材 归经 归于经脉
-药味 mapped_edge 药材 性味 具有性味
-药性 mapped_edge 药材 性味 具有性味
-部位 mapped_property 药材 location -
-贮藏 mapped_property 药材 storage_text -
-用量 mapped_property 药材 quantity -
-毒性 mapped_property 药材 toxicity -
-注意 mapped_property 药材 caution_text -
-用法 mapped_property 药材 usage_text -
-TS_MS quarantined_external_mapping - - -
-symmap_chemical excluded_chemical - - -
-chemical_MM excluded_chemical - - -"""
+TRIPLE_RELATIONS = [
+    ("证候", "mapped_edge", "病证", "病证", "关联证候"),
+    ("中药", "mapped_edge", "病证", "药材", "关联药材"),
+    ("治法", "mapped_edge", "病证", "治法", "关联治法"),
+    ("功能", "mapped_edge", "药材", "功效", "具有功效"),
+    ("归经", "mapped_edge", "药材", "归经", "归于经脉"),
+    ("药味", "mapped_edge", "药材", "性味", "具有性味"),
+    ("药性", "mapped_edge", "药材", "性味", "具有性味"),
+    ("部位", "mapped_property", "药材", "location", "-"),
+    ("贮藏", "mapped_property", "药材", "storage_text", "-"),
+    ("用量", "mapped_property", "药材", "quantity", "-"),
+    ("毒性", "mapped_property", "药材", "toxicity", "-"),
+    ("注意", "mapped_property", "药材", "caution_text", "-"),
+    ("用法", "mapped_property", "药材", "usage_text", "-"),
+    ("TS_MS", "quarantined_external_mapping", "-", "-", "-"),
+    ("symmap_chemical", "excluded_chemical", "-", "-", "-"),
+    ("chemical_MM", "excluded_chemical", "-", "-", "-"),
+]
 CLINICAL, FUNCTION, SYNDROME, MULTIPLE = ("证候", "中药", "治法"), "功能", "证候", ("归经", "药味", "药性")
 # Span labels that become nodes, with their node types; other known labels are passed over.
 SPAN_TYPES = {"DISEASE": "病证", "DISEASE_GROUP": "病证", "SYNDROME": "病证", "SYMPTOM": "症状", "DRUG": "药材", "DRUG_INGREDIENT": "药材", "DRUG_EFFICACY": "功效", "DRUG_TASTE": "性味"}
@@ -39,7 +41,7 @@ def clean_triples(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Equal triples count once, at their first line. What is a clinical name is decided over all rows before any
     row is routed: a function that is also one is quarantined. An unknown relation is an error.
     """
-    known = rows.sparkSession.createDataFrame([tuple(x.split(" ")) for x in TRIPLE_RELATIONS.split("\n")], "relation string, decision string, head_type string, tail_type string, edge_type string")
+    known = rows.sparkSession.createDataFrame(TRIPLE_RELATIONS, "relation string, decision string, head_type string, tail_type string, edge_type string")
     if bad := [r[0] for r in rows.join(known, "relation", "left_anti").select("relation").distinct().limit(5).collect()]:
         raise BadInput(f"unknown relations: {bad}")
     first = rows.groupBy("head", "tail", "relation").agg(F.min(F.struct("source_file", "line_no")).alias("_at")).select("head", "tail", "relation", "_at.*").join(known, "relation")

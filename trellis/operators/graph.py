@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..shared import cut
 
 MAX_DEPTH, MAX_LIMIT, EXPAND_DEPTH, EXPAND_LIMIT = 6, 100, 2, 50
 

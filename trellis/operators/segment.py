@@ -41,7 +41,8 @@ def adjacent_pairs(rows: DataFrame, key: list[str], order: str, takes: Column, g
 
 
 def missing_ids(df: DataFrame, column: str) -> DataFrame:
-    """Whole numbers absent between the least and the greatest."""
-    ends = df.agg(F.min(column).alias("a"), F.max(column).alias("b"))
-    every = ends.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias(column))
+    """Whole numbers absent between the least and the greatest; only these two reach the driver."""
+    first, last = df.agg(F.min(column), F.max(column)).first()
+    every = df.sparkSession.range(0 if first is None else first, 0 if first is None else last + 1)
+    every = every.select(F.col("id").cast(df.schema[column].dataType).alias(column))
     return every.join(df.select(column).distinct(), column, "left_anti")

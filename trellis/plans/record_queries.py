@@ -14,13 +14,17 @@ from .views import GRAPH_SQL, edges, nodes, table
 
 # Parts seen as entity drafts: a name is the type's last word and the brand, the stable id the size.
 DRAFT_SQL = """d AS (SELECT p_partkey AS ordinal, 'herb' AS node_type, split_part(p_type, ' ', -1) || ' ' || p_brand AS node_name, p_size::VARCHAR AS stable_id,
-  split_part(p_type, ' ', 1) AS parent_name, p_name AS alias, p_brand AS brand, split_part(p_type, ' ', 2) AS finish FROM part)"""
+  split_part(p_type, ' ', 1) AS parent_name, p_name AS alias, p_brand AS brand, split_part(p_name, ' ', 1) AS finish FROM part)"""
 
 
-def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split("p_type", " ")
-    props = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("finish"), F.coalesce(F.get(words, 1), F.lit("")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.lit("herb").alias("node_type"), F.concat_ws(" ", F.element_at(words, -1), "p_brand").alias("node_name"), F.col("p_size").cast("string").alias("stable_id"), F.element_at(words, 1).alias("parent_name"), F.array("p_name").alias("aliases"), F.array(F.concat(F.lit("part:"), "p_partkey")).alias("evidence_refs"), props.alias("props"))
+# The same with sizes by tens as ids, so that identities meet whose finishes conflict.
+COARSE_SQL = DRAFT_SQL.replace("p_size::VARCHAR", "(p_size // 10)::VARCHAR")
+
+
+def drafts(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    words, size = F.split("p_type", " "), F.floor(F.col("p_size") / 10) if coarse else F.col("p_size")
+    props = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("finish"), F.element_at(F.split("p_name", " "), 1))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.lit("herb").alias("node_type"), F.concat_ws(" ", F.element_at(words, -1), "p_brand").alias("node_name"), size.cast("string").alias("stable_id"), F.element_at(words, 1).alias("parent_name"), F.array("p_name").alias("aliases"), F.array(F.concat(F.lit("part:"), "p_partkey")).alias("evidence_refs"), props.alias("props"))
 
 
 @query(f"""WITH {DRAFT_SQL}, a AS (SELECT node_name, stable_id, alias, min(ordinal) AS o FROM d GROUP BY ALL), al AS (SELECT node_name, stable_id, string_agg(alias, '|' ORDER BY o) AS aliases FROM a GROUP BY ALL),
@@ -31,15 +35,15 @@ def identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node_type", "node_name", "stable_id", "ordinal", "n_merged", F.col("props")["finish"].alias("finish"), F.col("props")["brand"].alias("brand"), F.array_join("aliases", "|").alias("aliases"))
 
 
-@query(f"""WITH {DRAFT_SQL} SELECT node_name, stable_id, 'finish' AS prop, string_agg(DISTINCT finish, ',' ORDER BY finish) AS "values" FROM d WHERE finish <> '' GROUP BY node_name, stable_id HAVING count(DISTINCT finish) > 1""")
+@query(f"""WITH {COARSE_SQL} SELECT node_name, stable_id, 'finish' AS prop, string_agg(DISTINCT finish, ',' ORDER BY finish) AS "values" FROM d WHERE finish <> '' GROUP BY node_name, stable_id HAVING count(DISTINCT finish) > 1""")
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.conflicts(drafts(spark, sf_dir)).select("node_name", "stable_id", "prop", F.array_join("values", ",").alias("values"))
+    return R.conflicts(drafts(spark, sf_dir, coarse=True)).select("node_name", "stable_id", "prop", F.array_join("values", ",").alias("values"))
 
 
-@query(f"""WITH {DRAFT_SQL}, bad AS (SELECT node_name, stable_id FROM d WHERE finish <> '' GROUP BY ALL HAVING count(DISTINCT finish) > 1)
+@query(f"""WITH {COARSE_SQL}, bad AS (SELECT node_name, stable_id FROM d WHERE finish <> '' GROUP BY ALL HAVING count(DISTINCT finish) > 1)
 SELECT CASE WHEN b.node_name IS NULL THEN 'kept' ELSE 'quarantined' END AS route, count(*) AS n FROM d LEFT JOIN bad b USING (node_name, stable_id) GROUP BY 1""")
 def identity_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = R.quarantine_conflicts(drafts(spark, sf_dir))
+    good, bad = R.quarantine_conflicts(drafts(spark, sf_dir, coarse=True))
     return good.select(F.lit("kept").alias("route")).unionByName(bad.select(F.lit("quarantined").alias("route"))).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -258,7 +262,7 @@ def lineage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "n_evidence", (F.col("n_evidence") > 0).alias("has_evidence"), (F.col("s") > 0).alias("has_source"))
 
 
-@query(f"""WITH {LINEAGE_SQL} SELECT entity, evidence, coalesce(so.source, n.source, '') AS origin FROM ev LEFT JOIN so USING (evidence) LEFT JOIN nodes n ON n.id = ev.entity""")
+@query("""SELECT 'part:' || l_partkey AS entity, 'order:' || l_orderkey AS evidence, coalesce('customer:' || o_custkey, p_brand, '') AS origin FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence pairs with their origin: the evidence's source, else the entity's own."""
     e = edges(spark, sf_dir, ("contains", "placed"))

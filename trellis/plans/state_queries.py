@@ -46,24 +46,28 @@ def turn_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"), F.min_by(F.left("text", F.lit(20)), "turn").alias("opening"))
 
 
-@query("""WITH g AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'reset ' ELSE '' END || left(text, 10 * (1 + turn::INT)) AS acc FROM (SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations)),
-l AS (SELECT *, lag(acc) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM g) SELECT conv_id, turn, CASE WHEN b IS NOT NULL AND starts_with(acc, b) THEN substr(acc, length(b) + 1) ELSE acc END AS chunk FROM l""")
+@query("""WITH g AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'reset ' ELSE '' END || string_agg(coalesce(text, ''), '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc FROM conversations),
+l AS (SELECT *, lag(acc) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM g) SELECT conv_id, turn, CASE WHEN b IS NOT NULL AND starts_with(acc, b) THEN substr(acc, length(b) + 1) ELSE acc END AS chunk FROM l""".replace(" ORDER BY turn) OVER", ") OVER"))
 def suffix_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only what a growing answer adds; all of it where it was begun anew."""
+    """Only what a growing answer (all turns so far) adds; all of it where it was begun anew."""
     from pyspark.sql import Window as W
 
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.first("text").over(W.partitionBy("conv_id").orderBy("turn")))
-    acc = F.concat(F.when(F.col("turn") % 4 == 3, "reset ").otherwise(""), F.left("text", (10 * (1 + F.col("turn"))).cast("int")))
-    return T.suffix_chunks(c.withColumn("acc", acc), "conv_id", "turn", "acc").select("conv_id", "turn", "chunk")
+    so_far = F.collect_list(F.coalesce("text", F.lit(""))).over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
+    acc = F.concat(F.when(F.col("turn") % 4 == 3, "reset ").otherwise(""), F.array_join(so_far, ""))
+    return T.suffix_chunks(table(spark, sf_dir, "conversations").withColumn("acc", acc), "conv_id", "turn", "acc").select("conv_id", "turn", "chunk")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS seg, 's' || (c_custkey % 2) AS src FROM customer WHERE c_custkey % 5 <> 0), i AS (SELECT o_custkey AS k, max(o_orderpriority) AS seg, 'orders' AS src FROM orders GROUP BY 1)
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS seg, 's' || (c_custkey % 2) AS src FROM customer WHERE c_acctbal >= 0), o AS (SELECT o_custkey AS k, max(o_orderpriority) AS seg FROM orders GROUP BY 1),
+i AS (SELECT c_custkey AS k, coalesce(o.seg, c_mktsegment) AS seg, CASE WHEN o.k IS NULL THEN 'late' ELSE 'orders' END AS src FROM customer LEFT JOIN o ON o.k = c_custkey WHERE o.k IS NOT NULL OR c_acctbal < 0)
 SELECT coalesce(c.k, i.k) AS k, coalesce(nullif(c.seg, ''), i.seg) AS seg, concat_ws(',', c.src, i.src) AS srcs FROM c FULL JOIN i ON c.k = i.k""")
 def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Create, or fill what is empty and append to the lists."""
-    k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").where(k % 5 != 0).select(k.alias("k"), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("seg"), F.array(F.concat(F.lit("s"), (k % 2).cast("string"))).alias("srcs"))
-    i = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("seg")).withColumn("srcs", F.array(F.lit("orders")))
+    """Create, or fill what is empty and append to the lists. Customers in credit are there, all others come in
+    with those that have orders."""
+    k, customers = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    c = customers.where("c_acctbal >= 0").select(k.alias("k"), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("seg"), F.array(F.concat(F.lit("s"), (k % 2).cast("string"))).alias("srcs"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("o")).agg(F.max("o_orderpriority").alias("top"))
+    i = customers.join(o, k == F.col("o"), "left").where("o IS NOT NULL OR c_acctbal < 0")
+    i = i.select(k.alias("k"), F.coalesce("top", "c_mktsegment").alias("seg"), F.array(F.when(F.col("o").isNull(), "late").otherwise("orders")).alias("srcs"))
     return T.upsert(c, i, ["k"], ["seg"], ["srcs"]).select("k", "seg", F.array_join("srcs", ",").alias("srcs"))
 
 
@@ -94,18 +98,25 @@ def json_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", "k", (F.col("k") % 10).alias("bucket"))
 
 
-@query(None)
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
+a AS (SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, s) SELECT * FROM a WHERE last_ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: sessions from a stream over the events' files, written out as they close."""
+    """Extension: sessions from a stream over the events' files, written out as they close.
+
+    A finished run returns the sessions that are closed by then: those whose thirty quiet minutes end before the
+    watermark, one hour behind the last event. Later ones stay in the stream's state for the next run.
+    """
     import uuid
 
+    from ..shared import shared_dir
     from ..streaming.sessions import event_stream, session_stream
-    from .shared import shared_dir
 
     at = f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}"
-    source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events")
+    source = events.withColumn("ts", F.col("ts").cast("timestamp"))
     source.repartition(2).write.parquet(f"{at}/in")
     out = session_stream(event_stream(spark, f"{at}/in", source.schema))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    kind = events.schema["ts"].dataType
+    return spark.read.schema(out.schema).parquet(f"{at}/out").withColumns({c: F.col(c).cast(kind) for c in ("first_ts", "last_ts")})

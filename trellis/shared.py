@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where unset, one for this session."""
+    """``spark.checkpoint.dir``. Where unset, a local run gets a folder of its own; a cluster has none to fall back on."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trellis-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
