@@ -43,9 +43,9 @@ COMMON, CROWD = 64, 64
 #: Shingles that are put last, at most; more of them than this keep their places by hash.
 LATE = 1 << 18
 #: Parts that the members of a crowded file are dealt into.
-SALTS = 8
+SALTS = 4
 #: Of a text's crowded files so many are remembered to tell which of a pair's files comes first; more only repeat pairs.
-FIRST = 64
+FIRST = 8
 #: Longs of 64 bits in the map of a set.
 MAPS = 4
 #: Words whose hashes a worker keeps.
