@@ -26,5 +26,5 @@ def test_processors():
 
 def test_small_functions(spark):
     df = spark.createDataFrame([("\nMa huang\n麻黄\n\nabc", {"chp_id": "", "term_code": "7", "拼音": "x", "别名": "abc", "原文": "t", "e": ""})], "t string, p map<string,string>")
-    r = df.select(X.strip_latin_lines(F.col("t")).alias("lines"), bags.stable_id(F.col("p")).alias("id"), bags.for_graph(bags.without_latin(F.col("p"))).alias("p"), X.contains_brand(F.lit("同仁堂丸")).alias("b"), X.admin_id(F.lit("药材"), F.lit("麻黄"), F.lit("")).alias("a"), X.formula_warnings(F.lit("麻黄汤桂枝汤")).alias("w"), X.edge_id(F.lit(""), F.lit("a"), F.lit("r"), F.lit("b")).alias("e")).first()
-    assert (r.lines, r.id, r.p, r.b, r.a, r.w, r.e) == ("麻黄", "7", {"term_code": "7"}, True, "药材:麻黄", ["several_formulas"], "a:r:b")
+    r = df.select(X.strip_latin_lines(F.col("t")).alias("lines"), bags.stable_id(F.col("p")).alias("id"), bags.for_graph(bags.without_latin(F.col("p"))).alias("p"), X.contains_brand(F.lit("同仁堂丸")).alias("b"), X.admin_id(F.lit("药材"), F.lit("麻黄"), F.lit("")).alias("a"), X.formula_warnings(F.lit("麻黄汤、桂枝汤")).alias("w"), X.edge_id(F.lit(""), F.lit("a"), F.lit("r"), F.lit("b")).alias("e")).first()
+    assert (r.lines, r.id, r.p, r.b, r.a, r.w, r.e) == ("麻黄", "7", {"term_code": "7"}, True, "药材:麻黄", ["multiple_entities"], "a:r:b")

@@ -202,9 +202,9 @@ def admin_id(label: Column, name: Column, stable: Column) -> Column:
 
 
 def formula_warnings(name: Column) -> Column:
-    """Reasons to doubt a formula's name: long with punctuation; two or more formula endings."""
-    endings = F.size(F.regexp_extract_all(name, F.lit("[汤丸散饮膏丹]"), F.lit(0)))
-    return F.array_compact(F.array(F.when((F.length(name) > 12) & name.rlike("[，,、；;。]"), "long_with_punctuation"), F.when(endings >= 2, "several_formulas")))
+    """Reasons to doubt a formula's name: long with punctuation; two or more listed names that end as formulas do."""
+    listed = F.filter(F.split(name, "[、和与及]"), lambda x: x.rlike("[汤丸散丹膏饮]"))
+    return F.array_compact(F.array(F.when((F.length(name) > 8) & name.rlike("[。，.,；;：:！!？?]"), "descriptive_name"), F.when(F.size(listed) >= 2, "multiple_entities")))
 
 
 def edge_id(given: Column, src: Column, rel: Column, dst: Column) -> Column:

@@ -21,16 +21,6 @@ class IdentityConflict(ValueError):
     """Drafts of one identity disagree on a property."""
 
 
-def in_order(value: Column, ordinal: str = "ordinal") -> Column:
-    """All values of a group in input order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), value.alias("v")))), lambda x: x["v"])
-
-
-def ordered_distinct(value: Column, ordinal: str = "ordinal") -> Column:
-    """Distinct members of a group's arrays in order of first sight."""
-    return F.array_distinct(F.flatten(in_order(F.coalesce(value, F.array().cast("array<string>")), ordinal)))
-
-
 def property_rows(drafts: DataFrame, key: list[str] = KEY) -> DataFrame:
     return drafts.select(*key, "ordinal", F.explode("props").alias("prop", "value")).where(~is_empty(F.col("value")))
 
@@ -41,13 +31,26 @@ def conflicts(drafts: DataFrame, key: list[str] = KEY) -> DataFrame:
     return found.where(F.size("values") > 1)
 
 
+def _members(drafts: DataFrame, key: list[str], column: str) -> DataFrame:
+    """key and the distinct members of an array column in order of first sight: members meet as rows, repeats once."""
+    rows = drafts.select(*key, "ordinal", F.posexplode(column).alias("_pos", "_item"))
+    once = rows.groupBy(*key, "_item").agg(F.min(F.struct("ordinal", "_pos")).alias("_at"))
+    return once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_item"))), lambda x: x["_item"]).alias(column))
+
+
 def _folded(drafts: DataFrame, key: list[str], lists: list[str]) -> DataFrame:
     firsts = property_rows(drafts, key).groupBy(*key, "prop").agg(F.min_by("value", "ordinal").alias("value"))
-    bags = firsts.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", "value")))).alias("props"))
-    plain = drafts.groupBy(*key).agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("n_merged"), *[ordered_distinct(F.col(c)).alias(c) for c in lists])
-    on = [plain[k].eqNullSafe(bags[k]) for k in key]
-    joined = plain.join(bags, on, "left").select(*[plain[k] for k in key], "ordinal", "n_merged", *lists, F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
-    return joined
+    parts = [firsts.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", "value")))).alias("props"))]
+    parts += [_members(drafts, key, c) for c in lists]
+    out = drafts.groupBy(*key).agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("n_merged"))
+    for part in parts:
+        renamed = part.withColumnsRenamed({k: f"_{k}" for k in key})
+        on = F.lit(True)
+        for k in key:
+            on = on & out[k].eqNullSafe(renamed[f"_{k}"])
+        out = out.join(renamed, on, "left").drop(*[f"_{k}" for k in key])
+    empty = F.array().cast("array<string>")
+    return out.select(*key, "ordinal", "n_merged", *[F.coalesce(c, empty).alias(c) for c in lists], F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
 def merge_strict(drafts: DataFrame, key: list[str] = KEY, lists: list[str] = ("aliases", "evidence_refs")) -> DataFrame:
@@ -74,10 +77,9 @@ def quarantine_conflicts(drafts: DataFrame, key: list[str] = KEY) -> tuple[DataF
 def display_names(rows: DataFrame) -> DataFrame:
     """A name that several stable ids of a type share is qualified: by the parent where every sibling has a
     parent of its own, else by the id."""
-    siblings = W.partitionBy("node_type", "node_name")
-    n = F.size(F.collect_set("stable_id").over(siblings))
-    parents = F.size(F.collect_set(F.when(F.trim(F.coalesce("parent_name", F.lit(""))) != "", F.col("parent_name"))).over(siblings))
-    rows = rows.withColumn("_n", n).withColumn("_p", parents)
+    parent = F.when(F.trim(F.coalesce("parent_name", F.lit(""))) != "", F.col("parent_name"))
+    counts = rows.groupBy(F.col("node_type").alias("_type"), F.col("node_name").alias("_name")).agg(F.count_distinct("stable_id").alias("_n"), F.count_distinct(parent).alias("_p"))
+    rows = rows.join(counts, rows.node_type.eqNullSafe(counts["_type"]) & rows.node_name.eqNullSafe(counts["_name"])).drop("_type", "_name")
     name = F.when(F.col("_n") <= 1, F.col("node_name")).when(F.col("_p") == F.col("_n"), F.concat("node_name", F.lit("（"), "parent_name", F.lit("）"))).otherwise(F.concat("node_name", F.lit("〔"), "stable_id", F.lit("〕")))
     return rows.withColumn("display_name", name).drop("_n", "_p")
 

@@ -51,7 +51,7 @@ e0 AS (SELECT '方剂' AS node_type, c_name AS node_name, CASE p_size % 5 WHEN 0
   UNION ALL SELECT '方剂', c_name, '组成药材', s_name, '0.5', 'D4:record:' || no FROM l JOIN supplier ON l_suppkey = s_suppkey
   UNION ALL SELECT '方剂', c_name, '适用于', '病' || n_name, '', 'D5:record:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20
   UNION ALL SELECT '饮片', s_name, CASE WHEN n_nationkey % 3 < 2 THEN '具有性味' ELSE '归于经脉' END, '性' || n_name, '', 'D7:record:' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-e AS (SELECT node_type, node_name, type, target, min(dosage_ratio) AS dosage_ratio, string_agg(DISTINCT ref, ' || ' ORDER BY ref) AS evidence, count(*) AS n FROM e0 GROUP BY ALL)""".replace("count(*) AS n FROM e0 GROUP BY ALL", "count(*) AS n FROM e0 GROUP BY node_type, node_name, type, target")
+e AS (SELECT node_type, node_name, type, target, min(dosage_ratio) AS dosage_ratio, string_agg(DISTINCT ref, ' || ' ORDER BY ref) AS evidence, count(*) AS n FROM e0 GROUP BY node_type, node_name, type, target)"""
 
 
 @query(f"WITH {NODE_SQL} SELECT * FROM n")
@@ -75,3 +75,47 @@ def terminology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = terminology_tables(spark, sf_dir)
     n, e, x = T.clean(tables)
     return T.report(tables, cut(n, "nodes"), cut(e, "edges"), x)
+
+
+def _database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as formulas (equal names merge or conflict, some list two), suppliers as herbs, nations as syndromes and
+    symptoms, of which every fourth has the syndrome's name."""
+    from ..operators.database import Entity, Relation, clean
+
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    name = F.when(F.col("p_size") == 7, F.concat(F.lit("甲汤、"), "p_name", F.lit("丸"))).otherwise(F.concat_ws(" ", "p_name", "p_brand"))
+    tables = {
+        "herbs": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
+        "formulas": part.select(F.col("p_partkey").alias("id"), name.alias("name"), "p_type"),
+        "syndromes": nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "symptoms": nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise(F.concat(F.lit("s "), "n_name")).alias("name")),
+        "formula_herbs": table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_rowid"), "l_partkey", "l_suppkey", "l_returnflag"),
+        "syndrome_symptoms": nation.select(F.col("n_nationkey").alias("_rowid"), F.col("n_nationkey").alias("syndrome_id"), F.col("n_nationkey").alias("symptom_id")),
+    }
+    entities = {"herbs": Entity("药材", {}), "formulas": Entity("方剂", {"p_type": "category"}, warned=True), "syndromes": Entity("病证", {}), "symptoms": Entity("症状", {})}
+    relations = {"formula_herbs": Relation(("formulas", "l_partkey"), ("herbs", "l_suppkey"), "组成药材", "l_returnflag"), "syndrome_symptoms": Relation(("syndromes", "syndrome_id"), ("symptoms", "symptom_id"), "关联症状", names_differ=True)}
+    return clean(tables, entities, relations)
+
+
+DATABASE_SQL = """f AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN '甲汤、' || p_name || '丸' ELSE p_name || ' ' || p_brand END AS name, p_type, p_size = 7 AS warned FROM part),
+g AS (SELECT name, min(p_type) AS category, min(p_type) <> max(p_type) AS conflict, count(*) AS n_rows, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM f WHERE NOT warned GROUP BY name),
+l AS (SELECT l_orderkey * 10 + l_linenumber AS rowid, g.name AS node_name, s_name AS target, l_returnflag AS dosage FROM lineitem LEFT JOIN f ON l_partkey = p_partkey LEFT JOIN g ON g.name = f.name AND NOT g.conflict AND NOT f.warned LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+@query(f"""WITH {DATABASE_SQL} SELECT '方剂' AS node_type, name AS node_name, category, ids FROM g WHERE NOT conflict UNION ALL SELECT '药材', s_name, NULL, s_suppkey::VARCHAR FROM supplier UNION ALL SELECT '病证', n_name, NULL, n_nationkey::VARCHAR FROM nation
+UNION ALL SELECT '症状', CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 's ' || n_name END, NULL, n_nationkey::VARCHAR FROM nation""")
+def database_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _database(spark, sf_dir)[0].select("node_type", "node_name", F.col("props")["category"].alias("category"), F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""WITH {DATABASE_SQL} SELECT rowid, '方剂' AS node_type, node_name, '组成药材' AS type, target, dosage FROM l WHERE node_name IS NOT NULL AND target IS NOT NULL UNION ALL SELECT n_nationkey, '病证', n_name, '关联症状', 's ' || n_name, NULL FROM nation WHERE n_nationkey % 4 <> 0""")
+def database_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _database(spark, sf_dir)[1].select("rowid", "node_type", "node_name", "type", "target", "dosage")
+
+
+@query(f"""WITH {DATABASE_SQL} SELECT 'name_warning_rows' AS route, count(*) AS n FROM f WHERE warned UNION ALL SELECT 'name_warning_events', count(*) + count_if(length(name) > 8 AND regexp_matches(name, '[。，.,；;：:！!？?]')) FROM f WHERE warned
+UNION ALL SELECT 'conflicting_groups', count(*) FROM g WHERE conflict UNION ALL SELECT 'conflicting_rows', sum(n_rows)::BIGINT FROM g WHERE conflict UNION ALL SELECT 'nodes', (SELECT count(*) FROM g WHERE NOT conflict) + (SELECT count(*) FROM supplier) + 2 * (SELECT count(*) FROM nation)
+UNION ALL SELECT 'quarantined_endpoint', count(*) FROM l WHERE node_name IS NULL OR target IS NULL UNION ALL SELECT 'same_name_edge', count(*) FROM nation WHERE n_nationkey % 4 = 0
+UNION ALL SELECT 'edge', (SELECT count(*) FROM l WHERE node_name IS NOT NULL AND target IS NOT NULL) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0)""")
+def database_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _database(spark, sf_dir)[2]

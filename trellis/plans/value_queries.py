@@ -207,7 +207,7 @@ def unit_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_discount IS NOT NULL").select("l_orderkey", "l_linenumber", V.in_unit_range((F.col("l_discount") * 10).cast("string")).alias("good"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '(nation|thing|that|the|und)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::INT AS n_parts FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '(nation|thing|that|the|und)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::INT AS n_parts FROM documents WHERE text IS NOT NULL""")
 def entity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at the entities that they name, longest first."""
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(V.segments_of(F.col("text"), ["the", "that", "nation", "thing", "und"])).alias("n_parts"))
