@@ -119,3 +119,36 @@ UNION ALL SELECT 'quarantined_endpoint', count(*) FROM l WHERE node_name IS NULL
 UNION ALL SELECT 'edge', (SELECT count(*) FROM l WHERE node_name IS NOT NULL AND target IS NOT NULL) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0)""")
 def database_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _database(spark, sf_dir)[2]
+
+
+ACCEPT_SQL = """k AS (SELECT *, p_partkey % 10 AS d, 'part:' || p_partkey AS pn FROM part),
+r AS (SELECT 'u' || (p_partkey % 50) AS unit_id, CASE WHEN p_size = 50 THEN 'b2' ELSE 'b1' END AS batch_id, CASE d WHEN 0 THEN '医案' WHEN 1 THEN '方剂' WHEN 2 THEN '药材' WHEN 3 THEN '证据' WHEN 4 THEN '病证' WHEN 5 THEN '治法' ELSE '药材' END AS t,
+  CASE WHEN d = 2 THEN pn || '汤' WHEN d = 3 AND p_size % 2 = 0 THEN '证据:' || pn WHEN d = 3 THEN '《' || pn WHEN d = 4 AND p_size < 3 THEN '杂病' WHEN d = 5 AND p_size < 10 THEN '炼气' ELSE pn END AS name, d, p_size,
+  'part:' || (p_partkey - p_partkey % 10 + 4) AS disease, CASE WHEN d = 1 THEN '用 ' || p_size || 'g' ELSE '' END AS text FROM k),
+e AS (SELECT t, name, CASE WHEN d IN (0, 1, 4) AND p_size % 3 = 0 THEN '治疗病证' WHEN d = 0 AND p_size % 3 = 1 THEN '使用方剂' WHEN d = 1 AND p_size % 3 = 1 THEN '组成药材' END AS type, disease AS target FROM r),
+es AS (SELECT * FROM e WHERE type IS NOT NULL), has AS (SELECT DISTINCT name FROM r), dis AS (SELECT DISTINCT name FROM r WHERE t = '病证')"""
+
+
+@query(f"""WITH {ACCEPT_SQL}, v AS (SELECT 'formula typed as 药材' AS rule FROM r WHERE d = 2 UNION ALL SELECT 'book titled as 证据' FROM r WHERE d = 3 AND p_size % 2 = 1 UNION ALL SELECT 'evidence name must start with 证据:' FROM r WHERE d = 3 AND p_size % 2 = 1
+UNION ALL SELECT '病证 emitted 治疗病证' FROM es WHERE t = '病证' UNION ALL SELECT '治疗病证 from unsupported type' FROM es WHERE t = '病证' UNION ALL SELECT 'vague 病证' FROM r WHERE name = '杂病' UNION ALL SELECT 'forbidden 治法' FROM r WHERE name = '炼气'
+UNION ALL SELECT '医案 missing 治疗病证' FROM r WHERE d = 0 AND p_size % 3 <> 0 UNION ALL SELECT '医案 missing intervention' FROM r WHERE d = 0 AND p_size % 3 <> 1 UNION ALL SELECT '方剂 missing 组成药材 despite dosage text' FROM r WHERE d = 1 AND p_size % 3 <> 1 UNION ALL SELECT 'batch_id mismatch' FROM r WHERE batch_id = 'b2'
+UNION ALL SELECT 'missing units' FROM (VALUES ('u0'), ('none')) u(x) WHERE x NOT IN (SELECT unit_id FROM r) UNION ALL SELECT 'dangling targets' FROM es WHERE target NOT IN (SELECT name FROM has)
+UNION ALL SELECT 'target of a wrong type' FROM es WHERE target IN (SELECT name FROM has) AND NOT (type = '治疗病证' AND target IN (SELECT name FROM dis)) UNION ALL SELECT 'knowledge nodes missing 来源于+由证据支持' FROM r WHERE t <> '证据')
+SELECT rule, count(*) AS n FROM v GROUP BY rule""")
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as extracted records of several kinds, held against every rule of a release."""
+    from ..functions.vocabulary import EDGE_TARGETS
+    from ..operators import acceptance as A
+
+    d, size, pn, c = F.col("p_partkey") % 10, F.col("p_size"), F.concat(F.lit("part:"), "p_partkey"), F.lit
+    kind = F.when(d == 0, "医案").when(d == 1, "方剂").when(d == 3, "证据").when(d == 4, "病证").when(d == 5, "治法").otherwise("药材")
+    name = F.when(d == 2, F.concat(pn, c("汤"))).when((d == 3) & (size % 2 == 0), F.concat(c("证据:"), pn)).when(d == 3, F.concat(c("《"), pn)).when((d == 4) & (size < 3), "杂病").when((d == 5) & (size < 10), "炼气").otherwise(pn)
+    edge = F.when(d.isin(0, 1, 4) & (size % 3 == 0), "治疗病证").when((d == 0) & (size % 3 == 1), "使用方剂").when((d == 1) & (size % 3 == 1), "组成药材")
+    target = F.concat(c("part:"), F.col("p_partkey") - d + 4)
+    records = table(spark, sf_dir, "part").select(
+        F.concat(c("u"), F.col("p_partkey") % 50).alias("unit_id"), F.when(size == 50, "b2").otherwise("b1").alias("batch_id"), kind.alias("node_type"), name.alias("node_name"),
+        F.when(d == 1, F.concat(c("用 "), size.cast("string"), c("g"))).otherwise("").alias("evidence_text"), F.create_map().cast("map<string,string>").alias("props"),
+        F.filter(F.array(F.struct(edge.alias("type"), target.alias("target"))), lambda e: e["type"].isNotNull()).alias("edges"),
+    )
+    units = spark.createDataFrame([("u0",), ("none",)], "unit_id string")
+    return A.failures(A.broken(records, units, EDGE_TARGETS, "b1")).select("rule", "n")
