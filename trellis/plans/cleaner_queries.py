@@ -152,3 +152,30 @@ def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     units = spark.createDataFrame([("u0",), ("none",)], "unit_id string")
     return A.failures(A.broken(records, units, EDGE_TARGETS, "b1")).select("rule", "n")
+
+
+IMPORT_SQL = """o AS (SELECT s_suppkey AS k, 'n' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE '' END AS grade FROM supplier),
+r AS (SELECT p_partkey AS ordinal, 's' || (p_partkey % 3) AS source_id, 'b' || (p_partkey % 2) AS batch_id, p_brand AS grade, p_suppkey, kind FROM (SELECT *, p_partkey % 150 AS p_suppkey, p_partkey % 4 AS kind FROM part)),
+m AS (SELECT r.*, CASE WHEN kind < 3 THEN o.id END AS node_id, CASE WHEN kind < 3 AND o.id IS NOT NULL THEN o.name WHEN kind = 3 THEN 'new ' || p_suppkey ELSE CASE kind WHEN 2 THEN 'alias ' || p_suppkey ELSE 'lost ' || p_suppkey END END AS name, o.grade AS old FROM r LEFT JOIN o ON o.k = p_suppkey),
+w AS (SELECT node_id, name, any_value(CASE WHEN node_id IS NOT NULL THEN old END) AS old, arg_min(grade, ordinal) AS grade, count(*) AS n_records FROM m GROUP BY node_id, name),
+s AS (SELECT node_id, name, string_agg(source_id, ',' ORDER BY o) AS source_ids FROM (SELECT node_id, name, source_id, min(ordinal) AS o FROM m GROUP BY ALL) GROUP BY node_id, name)"""
+
+
+@query(f"""WITH {IMPORT_SQL} SELECT CASE WHEN w.node_id IS NULL THEN 'create' ELSE 'update' END AS action, w.node_id, w.name, CASE WHEN w.node_id IS NOT NULL AND old <> '' THEN old ELSE grade END AS grade, CASE WHEN w.node_id IS NOT NULL THEN 's9,' ELSE '' END || source_ids AS source_ids, n_records FROM w JOIN s ON w.name = s.name AND w.node_id IS NOT DISTINCT FROM s.node_id""")
+def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records about suppliers: by name, by alias, and new ones."""
+    from ..operators import importing as I
+
+    sup, part, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part"), F.lit
+    existing = sup.select(
+        F.concat(c("n"), "s_suppkey").alias("id"), c("supplier").alias("label"), F.col("s_name").alias("name"), F.array(F.concat(c("alias "), "s_suppkey")).alias("aliases"),
+        F.create_map(c("grade"), F.when(F.col("s_suppkey") % 2 == 0, "old").otherwise("")).alias("props"), *[F.array(c("s9") if n == "source_ids" else c("x")).alias(n) for n in I.LISTS],
+    )
+    k, kind = (F.col("p_partkey") % 150).cast("string"), F.col("p_partkey") % 4
+    named = part.join(sup.select(F.col("s_suppkey").alias("_k"), "s_name"), F.col("p_partkey") % 150 == F.col("_k"), "left")
+    records = named.select(
+        F.col("p_partkey").alias("ordinal"), c("supplier").alias("node_type"), F.when(kind < 2, F.coalesce("s_name", F.concat(c("lost "), k))).when(kind == 2, F.concat(c("alias "), k)).otherwise(F.concat(c("new "), k)).alias("node_name"),
+        F.create_map(c("grade"), F.col("p_brand"), c("other"), c("dropped")).alias("props"), F.concat(c("s"), F.col("p_partkey") % 3).alias("source_id"), F.concat(c("b"), F.col("p_partkey") % 2).alias("batch_id"), c("scope").alias("import_scope_key"), c(None).cast("string").alias("prompt_hash"),
+    )
+    out = I.plan(I.prepared(records, {f"s{i}": f"sha256:{i}" for i in range(3)}, ["grade"]), existing)
+    return out.select("action", "node_id", "name", F.col("props")["grade"].alias("grade"), F.array_join("source_ids", ",").alias("source_ids"), "n_records")
