@@ -19,7 +19,8 @@ text. The shingles themselves find the rest:
    costs no more than its size; what is left are texts just below the similarity, which must be compared.
 4. A pair is no candidate where the sizes, or the shingles that are left behind the first common one, are
    too few for the similarity, or where more bits of the sets' maps differ than shingles may. A bit of a map
-   is the parity of the shingles that fall on it, so no more bits differ than shingles do.
+   is the parity of the shingles that fall on it, so no more bits differ than shingles do. Files carry small
+   maps; candidates are then held against wide ones, which leave few but alike pairs to be verified on their texts.
 
 Sets hold 64-bit hashes of shingles. Words and case are those of the fingerprints; texts of under SHINGLE
 words are one shingle; null and empty texts are alike.
@@ -46,8 +47,8 @@ LATE = 1 << 18
 SALTS = 4
 #: Of a text's crowded files so many are remembered to tell which of a pair's files comes first; more only repeat pairs.
 FIRST = 8
-#: Longs of 64 bits in the map of a set.
-MAPS = 4
+#: Longs of 64 bits in the map of a set that goes with its files, and in the one that each candidate pair is held against.
+MAPS, WIDE = 4, 32
 #: Words whose hashes a worker keeps.
 VOCABULARY = 1 << 17
 _words: dict[bytes, int] = {}
@@ -81,9 +82,9 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(mixed).view(np.int64))
 
 
-def parity_maps(own: np.ndarray) -> np.ndarray:
-    """MAPS signed longs."""
-    odd = np.bincount(own & (64 * MAPS - 1), minlength=64 * MAPS) & 1
+def parity_maps(own: np.ndarray, longs: int = MAPS) -> np.ndarray:
+    """``longs`` signed longs."""
+    odd = np.bincount(own & (64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -112,18 +113,19 @@ def words_key(text: bytes | None) -> int:
 
 
 def _prefixes(late: np.ndarray):
-    """(..., _t) batches to (..., print, n, simhash, maps, prefix), the last two as arrays; ``late`` are the shingles that come last, in order."""
+    """(..., _t) batches to (..., print, n, simhash, maps, wide, prefix), the last three as arrays; ``late`` are the shingles that come last, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_hash = np.argsort(late)
         sorted_ = late[by_hash]
         for batch in batches:
-            prints, sizes, hashes, maps, found = [], [], [], [], []
+            prints, sizes, hashes, maps, wide, found = [], [], [], [], [], []
             for t in batch.column("_t"):
                 data = t.as_py()
                 own = shingle_set(data)
                 p = prefix_size(len(own))
                 maps.append(parity_maps(own))
+                wide.append(parity_maps(own, WIDE))
                 hashes.append(set_print(own))
                 if len(late):
                     at = np.minimum(np.searchsorted(sorted_, own), len(late) - 1)
@@ -134,8 +136,8 @@ def _prefixes(late: np.ndarray):
                 sizes.append(len(own))
                 found.append(own[:p])
             names = [c for c in batch.schema.names if c != "_t"]
-            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, "print", "n", "simhash", "maps", "prefix"])
+            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, "print", "n", "simhash", "maps", "wide", "prefix"])
 
     return work
 
@@ -194,9 +196,15 @@ def _pairs(files: DataFrame, other: DataFrame) -> DataFrame:
     return files.withColumnRenamed("print", "a").join(renamed, on).where(_fitting())
 
 
-def _alike(rows: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose whole sets are alike. ``rows``: _text, _t; ``chosen``: a text for each print."""
-    pairs = stash(pairs, "pairs")
+def _alike(rows: DataFrame, chosen: DataFrame, wide: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose whole sets are alike. ``rows``: _text, _t; ``chosen``: a text for each print;
+    ``wide``: print, n, wide."""
+    bare = stash(pairs, "candidates")
+    both = bare.join(wide.select(F.col("print").alias("a"), "n", "wide"), "a").join(wide.select(F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b")), "b")
+    differ = F.aggregate(F.zip_with("wide", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    pairs = stash(both.where(differ * (num + den) <= (F.col("n") + F.col("n_b")) * (den - num)).select("a", "b"), "pairs")
+    discard(bare)
     wanted = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
     wanted = stash(chosen.join(wanted, "print", "left_semi").select("_h"), "wanted")
     packed = rows.join(wanted, F.col("_text") == F.col("_h"), "left_semi").select("_t").mapInArrow(_packed, "print long, packed binary")
@@ -215,8 +223,8 @@ def links(docs: DataFrame, near, components) -> tuple[DataFrame, DataFrame]:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("_t"))
-    schema = f"doc_id {kind}, _text long, print long, n int, simhash long, maps array<long>, prefix array<long>"
-    first = stash(rows.mapInArrow(_prefixes(np.zeros(0, np.int64)), schema), "prefixes")
+    schema = f"doc_id {kind}, _text long, print long, n int, simhash long, maps array<long>, wide array<long>, prefix array<long>"
+    first = stash(rows.mapInArrow(_prefixes(np.zeros(0, np.int64)), schema).select("doc_id", "_text", "print", "prefix"), "prefixes")
     prints = stash(first.select("doc_id", "_text", "print"), "prints")
     chosen = stash(prints.groupBy("print").agg(F.min("_text").alias("_h")), "chosen")
     once = first.groupBy("print").agg(F.first("prefix").alias("prefix"))
@@ -224,8 +232,9 @@ def links(docs: DataFrame, near, components) -> tuple[DataFrame, DataFrame]:
     late = np.array([r.shingle for r in reversed(counts.orderBy(F.desc("m"), "shingle").limit(LATE).collect())], np.int64)
     discard(first)
 
-    own = rows.mapInArrow(_prefixes(late), schema).groupBy("print").agg(F.first(F.struct("n", "simhash", "maps", "prefix")).alias("f"))
-    texts = stash(own.select("print", "f.n", "f.simhash", "f.maps", "f.prefix"), "own")
+    own = rows.mapInArrow(_prefixes(late), schema).groupBy("print").agg(F.first(F.struct("n", "simhash", "maps", "wide", "prefix")).alias("f"))
+    texts = stash(own.select("print", "f.n", "f.simhash", "f.maps", "f.wide", "f.prefix"), "own")
+    wide = texts.select("print", "n", "wide")
     # SimHash: each text with the least of its group of linked fingerprints
     groups = components(near(texts.select(F.col("simhash").alias("print")))).select(F.col("a").alias("_of"), F.col("root").alias("_group"))
     grouped = stash(texts.select("print", "simhash").join(groups, F.col("simhash") == F.col("_of"), "left").select("print", F.coalesce("_group", "simhash").alias("_group")), "fingerprints")
@@ -243,7 +252,7 @@ def links(docs: DataFrame, near, components) -> tuple[DataFrame, DataFrame]:
     least = F.min(F.struct("pos", "print", "n", *[f"map{i}" for i in range(MAPS)])).alias("f")
     pivots = crowded.groupBy("shingle").agg(least).select("shingle", F.col("f.print").alias("print"), F.col("f.n").alias("n"), F.col("f.pos").alias("pos"), *[F.col(f"f.map{i}").alias(f"map{i}") for i in range(MAPS)])
     hubs = _pairs(crowded, pivots).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = _alike(rows, chosen, _bounded(pairs).union(hubs).union(hashed).distinct())
+    found = _alike(rows, chosen, wide, _bounded(pairs).union(hubs).union(hashed).distinct())
     if not crowded.isEmpty():
         roots = components(found).withColumnRenamed("a", "print")
         crowded = stash(crowded.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "crowded")
@@ -255,7 +264,7 @@ def links(docs: DataFrame, near, components) -> tuple[DataFrame, DataFrame]:
         salted = apart.withColumn("salt", F.pmod(F.hash("print"), F.lit(SALTS)))
         dealt = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rest = _pairs(salted, dealt).where("a < b and root != root_b and not arrays_overlap(before, before_b)")
-        found = found.union(_alike(rows, chosen, _bounded(rest)))
+        found = found.union(_alike(rows, chosen, wide, _bounded(rest)))
     discard(filed)
     discard(texts)
     return prints, found.distinct()
