@@ -108,4 +108,64 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op4_impact_topk": OP4, "op8_warc_zstd": OP8, "op5_host_rules": OP5, "op6_pareto_mix": OP6}
+OP13 = r"""
+WITH RECURSIVE codes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), filled AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS k
+  FROM conversations, codes
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM filled
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare
+  FROM damaged
+), flagged AS (
+  SELECT conv_id, turn, role, text, place, left(role, 1) AS i, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM ordered
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+    count_if(fault = 'truncated') AS truncated, count_if(illegal) AS illegal, max(place) AS n
+  FROM flagged GROUP BY conv_id
+), fold AS (
+  SELECT conv_id, 0::BIGINT AS place, 0::BIGINT AS ec, '' AS ea, 1000000000::BIGINT AS sc, '' AS sa, 1000000000::BIGINT AS uc, '' AS ua, 1000000000::BIGINT AS ac, '' AS aa FROM counts
+  UNION ALL
+  SELECT conv_id, place, ec, ea, s.c, s.x, u.c, u.x, a.c, a.x FROM (
+    SELECT conv_id, place, ec + 3 AS ec, ea || 'D' AS ea,
+      list_min(list_filter([{c: sc + 3, x: sa || 'D'}, CASE WHEN free AND i = 's' THEN {c: ec + cut, x: ea || 'K'} END], lambda z: z IS NOT NULL)) AS s,
+      list_min(list_filter([{c: uc + 3, x: ua || 'D'}, CASE WHEN free THEN {c: ec + us, x: ea || ul} END, CASE WHEN free THEN {c: sc + us, x: sa || ul} END,
+        CASE WHEN free THEN {c: ac + us, x: aa || ul} END, CASE WHEN free THEN {c: uc + 2 + us, x: ua || 'J' || ul} END], lambda z: z IS NOT NULL)) AS u,
+      list_min(list_filter([{c: ac + 3, x: aa || 'D'}, CASE WHEN free THEN {c: uc + s_, x: ua || al} END, CASE WHEN free THEN {c: ec + 2 + s_, x: ea || 'I' || al} END,
+        CASE WHEN free THEN {c: sc + 2 + s_, x: sa || 'I' || al} END, CASE WHEN free THEN {c: ac + 2 + s_, x: aa || 'I' || al} END], lambda z: z IS NOT NULL)) AS a
+    FROM (
+      SELECT f.*, r.i, coalesce(r.fault, '') NOT IN ('blank', 'duplicate') AS free, CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END AS cut,
+        CASE WHEN i = 'u' THEN 0 ELSE 2 END + CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END AS us, CASE WHEN i = 'u' THEN 'K' ELSE 'R' END AS ul,
+        CASE WHEN i = 'a' THEN 0 ELSE 2 END + CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END AS s_, CASE WHEN i = 'a' THEN 'K' ELSE 'S' END AS al
+      FROM (SELECT conv_id, place + 1 AS place, ec, ea, sc, sa, uc, ua, ac, aa FROM fold) f
+      JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.place = f.place)
+  )
+), best AS (
+  SELECT f.conv_id, list_min([{c: ec, x: ea}, {c: ac, x: aa}, {c: uc + 2, x: ua || 'J'}]) AS b FROM fold f JOIN counts c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND f.place = c.n
+), edits AS (
+  SELECT conv_id, b, unnest(l) AS edit, generate_subscripts(l, 1) AS place FROM (SELECT conv_id, b, regexp_extract_all(b.x, '[IJ]?[DKRS]|[IJ]$') AS l FROM best)
+), lines AS (
+  SELECT e.conv_id, e.place, concat_ws(chr(10), CASE WHEN starts_with(edit, 'I') THEN 'user:' WHEN starts_with(edit, 'J') THEN 'assistant:' END,
+    CASE right(edit, 1) WHEN 'K' THEN role || ':' || text WHEN 'R' THEN 'user:' || text WHEN 'S' THEN 'assistant:' || text END) AS line, right(edit, 1) <> 'D' OR length(edit) > 1 AS said
+  FROM edits e LEFT JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.place = e.place
+), texts AS (
+  SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS repaired FROM lines WHERE said GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(translate(b.x, 'JS', 'IR'), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_impact_topk": OP4, "op8_warc_zstd": OP8, "op5_host_rules": OP5, "op6_pareto_mix": OP6, "op13_conversation_repair": OP13}

@@ -76,6 +76,12 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair, written_out
+
+    return repair(table(spark, sf_dir, "conversations")).select("*", F.sha2(written_out(F.col("turns")), 256).alias("repaired_sha256")).drop("turns")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_token_counts": op2_token_counts,
@@ -87,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zstd": op8_warc_zstd,
     "op9_url_filter": op9_url_filter,
     "op10_linear_grouping": op10_linear_grouping,
+    "op13_conversation_repair": op13_conversation_repair,
 }
