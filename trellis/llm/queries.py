@@ -76,6 +76,12 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import repair, written_out
 
@@ -93,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zstd": op8_warc_zstd,
     "op9_url_filter": op9_url_filter,
     "op10_linear_grouping": op10_linear_grouping,
+    "op12_language_id": op12_language_id,
     "op13_conversation_repair": op13_conversation_repair,
 }
