@@ -9,9 +9,10 @@ cut before runs of white space where neither can merge across, which is verified
   that B puts before a segment can be taken off again.
 
 Where one does not hold for a vocabulary, and in texts with U+2581 or NUL, a text is one segment. Tasks cut their texts in
-blocks of BLOCK characters, number a block's distinct segments and write texts as numbers; the segments of all blocks
-are made distinct, tokenized and aligned once, links are counted by pair of ids, and the alignments are joined back to
-the blocks that hold them, where the documents are composed. A segment is dealt once a block however often it occurs.
+blocks of BLOCK characters, number a block's distinct segments and write texts as numbers. The segments are dealt by
+their text, once a block however often they occur, and sorted, so that equal ones meet; each is tokenized and aligned
+once, and its groups go back to every block that holds it, packed by block. Links are counted by pair of ids over all
+segments and blocks; a block gets the counts of its own pairs, and its documents are composed.
 
 Two tokens are linked where their byte ranges end together, which is also where a group ends, so a text has as many
 links as groups.
@@ -25,8 +26,9 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .tokens import byte_letters
 
 #: Characters of text in a block: bounds what a task and a composed group hold (a longer text is a block of its own).
 BLOCK = 16_000_000
-#: Rows of one answer and segments encoded in one call.
-ROWS = 10_000
+#: Rows of one answer; segments whose groups are packed by block together.
+ROWS, PACKED = 10_000, 200_000
 SPACE_MARK = "▁"
 #: White space before which texts may be cut, if the vocabularies allow.
 CUTS = " \t\n\x0b\x0c\r"
@@ -150,10 +152,13 @@ class Numbers(dict):
 
 def cut_blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to rows of documents (block, doc_id, numbers) and of a block's segments (block, segment, number, n)."""
-    vocab = vocabularies(a_path, b_path)
+    from pyspark import TaskContext
+
+    vocab, done = vocabularies(a_path, b_path), count()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        block = uuid.uuid4().bytes
+        # one attempt of a partition is committed, so its blocks are its own
+        block = TaskContext.get().partitionId() << 32 | next(done)
         flat = np.concatenate(told) if told else np.zeros(0, np.int64)
         counts = np.bincount(flat, minlength=len(numbers))
         order = np.argsort(-counts, kind="stable")
@@ -191,47 +196,102 @@ def row_batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-ALIGNED = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+DEALT = pa.schema([("block", pa.int64()), ("pack", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+def written(found: tuple[list[int], list[int], list[tuple[int, int]]] | None) -> str:
+    """Groups as ``a1,a2|b1;a3|b2,b3``; empty where the bytes differ."""
+    if found is None:
+        return ""
+    a, b, ends = found
+    return ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip([(0, 0), *ends], ends))
+
+
+def pairs_of(found: tuple[list[int], list[int], list[tuple[int, int]]] | None) -> list[int]:
+    """The links: A's and B's id as one number."""
+    return [] if found is None else [found[0][i - 1] << 32 | found[1][j - 1] for i, j in found[2]]
+
 
+def align_sorted(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    """(segment, block, number, n) rows, equal segments side by side, to DEALT rows: for each block that holds them groups
+    by number, compressed, and the pairs of ids among them; at the end all pairs with their counts, without a block."""
+    import zstandard
 
-def align_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    """Distinct (segment, n) to ALIGNED; groups are null where the bytes differ."""
     vocab = vocabularies(a_path, b_path)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    total: Counter[int] = Counter()
+    waiting: dict[int, list] = {}
+    rows, last, kept = 0, None, None
+
+    def flush() -> pa.RecordBatch:
+        blocks = sorted(waiting)
+        packs = [squeeze("\n".join(f"{number} {groups}" for number, groups, _ in waiting[b]).encode()) for b in blocks]
+        pairs = [sorted({x for _, _, found in waiting[b] for x in found}) for b in blocks]
+        return row_batch(DEALT, len(blocks), block=blocks, pack=packs, pairs=pairs)
+
     for batch in batches:
         segments = batch.column("segment").to_pylist()
-        n_a, n_b, groups, links = [], [], [], []
-        for found in vocab.align(segments):
-            if found is None:
-                n_a.append(0), n_b.append(0), groups.append(None), links.append([])
-                continue
-            a, b, ends = found
-            n_a.append(len(a)), n_b.append(len(b))
-            starts = [(0, 0), *ends]
-            groups.append(";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:l]))}" for (i, j), (k, l) in zip(starts, ends)))
-            links.append([a[i - 1] << 32 | b[j - 1] for i, j in ends])
-        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("n"), *map(pa.array, (n_a, n_b), (pa.int64(),) * 2), pa.array(groups, pa.string()), pa.array(links, ALIGNED.field("links").type)], schema=ALIGNED)
+        new = [x for x in dict.fromkeys(segments) if x != last]
+        found = {x: (written(f), pairs_of(f)) for x, f in zip(new, vocab.align(new))}
+        if last is not None:
+            found[last] = kept
+        for segment, block, number, n in zip(segments, *[batch.column(c).to_pylist() for c in ("block", "number", "n")]):
+            groups, pairs = found[segment]
+            waiting.setdefault(block, []).append((number, groups, pairs))
+            for pair in pairs:
+                total[pair] += n
+        if segments:
+            last, kept = segments[-1], found[segments[-1]]
+        rows += len(segments)
+        if rows >= PACKED:
+            yield flush()
+            waiting, rows = {}, 0
+    if waiting:
+        yield flush()
+    found = sorted(total.items())
+    for at in range(0, len(found), ROWS):
+        part = found[at : at + ROWS]
+        yield row_batch(DEALT, 1, pairs=[[p for p, _ in part]], counts=[[n for _, n in part]])
 
 
 COUNTED = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 
-def compose(texts: pa.Table, segments: pa.Table) -> pa.Table:
-    """A block's documents from its segments' alignments."""
-    number = segments.column("number").to_numpy()
-    order = np.argsort(number)
-    sums = np.stack([segments.column(c).to_numpy()[order] for c in COUNTED]) if len(order) else np.zeros((len(COUNTED), 0), np.int64)
-    known = segments.column("groups").is_valid().to_numpy()[order] if len(order) else np.zeros(0, bool)
-    groups = segments.column("groups").take(pa.array(order)).to_pylist() if len(order) else []
-    rows, said = np.zeros((len(COUNTED), len(texts)), np.int64), []
+def compose(texts: pa.Table, dealt: pa.Table) -> pa.Table:
+    """A block's documents from the groups of its segments and the counts of its pairs."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    at = dealt.column("pair").is_valid()
+    known = dealt.filter(at)
+    counts = {p: (b, c) for p, b, c in zip(*[known.column(c).to_pylist() for c in ("pair", "best", "count")])}
+    lines = [line for p in dealt.column("pack").drop_null() for line in unpack(p.as_py()).decode().split("\n")]
+    groups = [""] * len(lines)
+    for line in lines:
+        number, _, said = line.partition(" ")
+        groups[int(number)] = said
+    # every group's numbers once a block, then summed by segment
+    parts = Numbers()
+    sizes = np.array([g.count(";") + 1 if g else 0 for g in groups], dtype=np.int64)
+    flat = np.fromiter((parts[x] for g in groups if g for x in g.split(";")), np.int64, count=int(sizes.sum()))
+    values = np.zeros((len(parts), len(COUNTED)), dtype=np.int64)
+    for part, i in parts.items():
+        a, _, b = part.partition("|")
+        a, b = a.split(","), b.split(",")
+        values[i] = (len(a), len(b), 1, *counts[int(a[-1]) << 32 | int(b[-1])])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    running = np.concatenate([np.zeros((1, len(COUNTED)), np.int64), np.cumsum(values[flat], axis=0)])
+    sums = running[ends[1:]] - running[ends[:-1]]
+    rows, said = np.zeros((len(texts), len(COUNTED)), np.int64), []
     for k, data in enumerate(texts.column("numbers")):
         data = data.as_py()
         ids = np.zeros(0, np.int64) if data is None else spread(data)
-        if not len(ids) or not known[ids].all():
+        if not len(ids) or not sizes[ids].all():
             said.append("")
             continue
-        rows[:, k] = sums[:, ids].sum(axis=1)
+        rows[k] = sums[ids].sum(axis=0)
         said.append(";".join(map(groups.__getitem__, ids.tolist())))
-    return pa.table([texts.column("doc_id"), *[pa.array(r, pa.int64()) for r in rows], pa.array(said, pa.string())], names=["doc_id", *COUNTED, "groups"])
+    return pa.table([texts.column("doc_id"), *[pa.array(rows[:, i], pa.int64()) for i in range(len(COUNTED))], pa.array(said, pa.string())], names=["doc_id", *COUNTED, "groups"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> DataFrame:
@@ -241,27 +301,24 @@ def align(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Data
 
     slim = docs.select("doc_id", "text")
     doc_id = slim.schema["doc_id"].dataType
-    cut = StructType([StructField("block", BinaryType()), StructField("doc_id", doc_id), StructField("numbers", BinaryType()), StructField("segment", StringType()), StructField("number", IntegerType()), StructField("n", LongType())])
+    cut = StructType([StructField("block", LongType()), StructField("doc_id", doc_id), StructField("numbers", BinaryType()), StructField("segment", StringType()), StructField("number", IntegerType()), StructField("n", LongType())])
     arrow = to_arrow_schema(cut)
     blocks = stash(slim.mapInArrow(lambda batches: cut_blocks(batches, a_path, b_path, arrow, block), cut), "blocks")
-    parts = blocks.where(F.col("segment").isNotNull())
     texts = blocks.where(F.col("segment").isNull()).select(F.col("block").alias("_of"), "doc_id", "numbers")
-
-    distinct = parts.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = stash(distinct.mapInArrow(lambda batches: align_batches(batches, a_path, b_path), "segment string, n long, n_a long, n_b long, groups string, links array<long>"), "aligned")
-
-    # how many links hold a pair of ids, and the highest such count of its B id
-    pairs = aligned.select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
-    pairs = stash(pairs, "pairs")
-    tops = pairs.groupBy(F.col("b").alias("_b")).agg(F.max("count").alias("top"))
-    ranked = pairs.join(tops, F.col("b") == F.col("_b")).select(F.col("pair").alias("_pair"), "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
-    links = aligned.select(F.col("segment").alias("_segment"), F.explode("links").alias("pair")).join(ranked, F.col("pair") == F.col("_pair"))
-    sums = stash(links.groupBy("_segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "sums")
-
-    known = aligned.join(sums, F.col("segment") == F.col("_segment"), "left").select(
-        F.col("segment").alias("_segment"), "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups"
-    )
-    back = parts.select("block", "segment", "number").join(known, F.col("segment") == F.col("_segment")).select("block", "number", *COUNTED, "groups")
+    parts = blocks.where(F.col("segment").isNotNull()).select("segment", "block", "number", "n")
+
+    dealt = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(lambda batches: align_sorted(batches, a_path, b_path), "block long, pack binary, pairs array<long>, counts array<long>")
+    dealt = stash(dealt, "dealt")
+    # how many links hold a pair of ids, and whether no pair of its B id is held by more
+    counted = dealt.where("block IS NULL").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("count"))
+    counted = stash(counted.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), "pairs")
+    tops = counted.groupBy(F.col("b").alias("_b")).agg(F.max("count").alias("top"))
+    ranked = counted.join(tops, F.col("b") == F.col("_b")).select(F.col("pair").alias("_pair"), (F.col("count") == F.col("top")).cast("long").alias("best"), "count")
+
+    held = dealt.where("block IS NOT NULL")
+    own = held.select("block", F.explode("pairs").alias("pair")).distinct().join(ranked, F.col("pair") == F.col("_pair")).select("block", F.lit(None).cast("binary").alias("pack"), "pair", "best", "count")
+    none = F.lit(None).cast("long")
+    back = held.select("block", "pack", none.alias("pair"), none.alias("best"), none.alias("count")).unionByName(own)
     out = StructType([StructField("doc_id", doc_id), *[StructField(c, LongType()) for c in COUNTED], StructField("groups", StringType())])
     composed = texts.groupBy("_of").cogroup(back.groupBy("block")).applyInArrow(lambda left, right: compose(left, right), out)
     return composed.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
