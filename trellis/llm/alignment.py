@@ -316,7 +316,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Data
     ranked = counted.join(tops, F.col("b") == F.col("_b")).select(F.col("pair").alias("_pair"), (F.col("count") == F.col("top")).cast("long").alias("best"), "count")
 
     held = dealt.where("block IS NOT NULL")
-    own = held.select("block", F.explode("pairs").alias("pair")).distinct().join(ranked, F.col("pair") == F.col("_pair")).select("block", F.lit(None).cast("binary").alias("pack"), "pair", "best", "count")
+    # a block's pairs, each once before they become rows; no more than the links of its distinct segments
+    own = held.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    own = own.select("block", F.explode("pairs").alias("pair")).join(ranked, F.col("pair") == F.col("_pair")).select("block", F.lit(None).cast("binary").alias("pack"), "pair", "best", "count")
     none = F.lit(None).cast("long")
     back = held.select("block", "pack", none.alias("pair"), none.alias("best"), none.alias("count")).unionByName(own)
     out = StructType([StructField("doc_id", doc_id), *[StructField(c, LongType()) for c in COUNTED], StructField("groups", StringType())])
