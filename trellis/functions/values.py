@@ -156,10 +156,10 @@ def first_flat(paths: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.slice(paths, 1, n)))
 
 
-def scope_key(source: Column, known: dict[str, str]) -> Column:
-    """A source's own scope, else one by pattern."""
+def scope_key(source: Column, known: dict[str, str], prefix: str) -> Column:
+    """A source's own scope, else the prefix and the source."""
     own = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), source) if known else F.lit(None).cast("string")
-    return F.coalesce(own, F.concat(F.lit("manual:baicao-knowledge:"), source))
+    return F.coalesce(own, F.concat(F.lit(prefix), source))
 
 
 def case_text(text: Column) -> Column:

@@ -238,7 +238,7 @@ def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_brand END AS snippet, coalesce(CASE WHEN p_size % 4 < 2 THEN 'part:' || p_partkey END, p_name) AS node_key, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS origin,
-  CASE p_size % 4 WHEN 0 THEN 'sentence' WHEN 1 THEN 'book' WHEN 2 THEN 'term' END AS kind, p_name || ':' || p_partkey || '-' || p_size AS entry_key, 'manual:baicao-knowledge:' || p_brand AS scope FROM part""")
+  CASE p_size % 4 WHEN 0 THEN 'sentence' WHEN 1 THEN 'book' WHEN 2 THEN 'term' END AS kind, p_name || ':' || p_partkey || '-' || p_size AS entry_key, 'manual:' || p_brand AS scope FROM part""")
 def provenance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-filled rules: snippet, node key, origin, kind of property, entry and scope keys."""
     m, none = F.col("p_size") % 4, F.lit("")
