@@ -244,4 +244,4 @@ def provenance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, none = F.col("p_size") % 4, F.lit("")
     bag = F.create_map(F.lit("snippet"), F.lit("  "), F.lit("raw_text"), F.when(m == 0, F.col("p_name")).otherwise(none), F.lit("原文"), F.when(m == 1, F.col("p_brand")).otherwise(none), F.lit("id"), F.when(m < 2, F.concat(F.lit("part:"), "p_partkey")).otherwise(none), F.lit("name"), F.col("p_name"), F.lit("import_source_id"), F.when(m % 2 == 0, F.col("p_brand")).otherwise(none))
     key = F.when(m == 0, "贮藏").when(m == 1, "source_book").when(m == 2, "主治").otherwise("name")
-    return table(spark, sf_dir, "part").select("p_partkey", V.snippet(bag).alias("snippet"), V.node_key(bag).alias("node_key"), V.origin(bag, F.array("p_type")).alias("origin"), V.property_kind(key).alias("kind"), V.entry_key(F.col("p_name"), F.col("p_partkey"), F.col("p_size")).alias("entry_key"), V.scope_key(F.col("p_brand"), {"none": "x"}).alias("scope"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.snippet(bag).alias("snippet"), V.node_key(bag).alias("node_key"), V.origin(bag, F.array("p_type")).alias("origin"), V.property_kind(key).alias("kind"), V.entry_key(F.col("p_name"), F.col("p_partkey"), F.col("p_size")).alias("entry_key"), V.scope_key(F.col("p_brand"), {"none": "x"}, "manual:").alias("scope"))
