@@ -242,3 +242,36 @@ def last_wins(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
 
 def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def neighbour_ids(edges: DataFrame, node_id: str) -> DataFrame:
+    """Distinct ids at the other end of a node's edges, itself where an edge is a loop."""
+    at = edges.where((F.col("src_id") == node_id) | (F.col("dst_id") == node_id))
+    return at.select(F.when(F.col("src_id") == node_id, F.col("dst_id")).otherwise(F.col("src_id")).alias("id")).distinct()
+
+
+def expanded_below(expansions: DataFrame, node_id: str) -> DataFrame:
+    """(id, round) of all that was brought in by expanding a node, or by expanding what that brought, and so on.
+
+    expansions: parent, child. Every round joins what the last one found; a node counts at its first round, so circles end.
+    """
+    spark = expansions.sparkSession
+    found = cut(spark.createDataFrame([(node_id, 0)], "id string, round int"))
+    last, n = found, 0
+    while True:
+        n += 1
+        step = expansions.join(last.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct()
+        last = cut(step.join(found.select("id"), "id", "left_anti").withColumn("round", F.lit(n)))
+        if last.isEmpty():
+            return found.where("round > 0")
+        found = cut(found.unionByName(last))
+
+
+def collapse(nodes: DataFrame, edges: DataFrame, expansions: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, expansions) without all that expanding a node has brought in; the node itself stays, collapsed."""
+    gone = expanded_below(expansions, node_id).select("id")
+    left = nodes.join(gone, "id", "left_anti")
+    for end in ("src_id", "dst_id"):
+        edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    closed = gone.unionByName(gone.sparkSession.createDataFrame([(node_id,)], "id string"))
+    return left, edges, expansions.join(closed.withColumnRenamed("id", "parent"), "parent", "left_anti")

@@ -13,17 +13,28 @@ from .registry import query
 from .views import GRAPH_SQL, nodes, table
 
 
-def given(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+def given(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: str) -> DataFrame:
+    """p_partkey and one of the cases for every part, with the part's brand in place of @."""
+    names = columns.split(", ")
+    case = F.element_at(F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(names, row)]) for row in rows]), (F.col("p_partkey") % len(rows) + 1).cast("int"))
+    told = table(spark, sf_dir, "part").select("p_partkey", "p_brand", case.alias("v"))
+    return told.select("p_partkey", *[F.replace(F.col(f"v.{c}"), F.lit("@"), F.col("p_brand")).alias(c) for c in names])
 
 
-NAMES = "('穴位', '合谷穴'), ('穴位', '合谷'), ('穴位', '穴'), ('药材', ' 黄芪 '), ('药材', '合谷穴'), ('穴位', '  ')"
+def given_sql(rows: list[tuple], columns: str) -> str:
+    """The same rows as the table t of a WITH clause."""
+    quoted = lambda v: "NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {', '.join(map(quoted, row))})" for i, row in enumerate(rows))
+    return f"t AS (SELECT p_partkey, {', '.join(f"replace(v.{c}, '@', p_brand) AS {c}" for c in columns.split(', '))} FROM part JOIN (VALUES {values}) v(i, {columns}) ON p_partkey % {len(rows)} = v.i)"
 
 
-@query(f"""WITH t(kind, name) AS (VALUES {NAMES}), s AS (SELECT kind, name, trim(name) AS n FROM t)
-SELECT kind, name, array_to_string(list_filter([n, CASE WHEN kind <> '穴位' THEN NULL WHEN n LIKE '%穴' THEN CASE WHEN length(n) > 1 THEN left(n, length(n) - 1) END ELSE n || '穴' END], lambda x: x <> ''), '|') AS names FROM s""")
+NAMES = [("穴位", "合谷穴"), ("穴位", "合谷"), ("穴位", "穴"), ("药材", " 黄芪 "), ("药材", "合谷穴"), ("穴位", "  "), ("穴位", "@穴"), ("药材", " @ ")]
+
+
+@query(f"""WITH {given_sql(NAMES, 'kind, name')}, s AS (SELECT *, trim(name) AS n FROM t)
+SELECT p_partkey, kind, name, array_to_string(list_filter([n, CASE WHEN kind <> '穴位' THEN NULL WHEN n LIKE '%穴' THEN CASE WHEN length(n) > 1 THEN left(n, length(n) - 1) END ELSE n || '穴' END], lambda x: x <> ''), '|') AS names FROM s""")
 def name_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, NAMES, "kind, name").select("kind", "name", F.array_join(V.lookup_names(F.col("kind"), F.col("name")), "|").alias("names"))
+    return given(spark, sf_dir, NAMES, "kind, name").select("p_partkey", "kind", "name", F.array_join(V.lookup_names(F.col("kind"), F.col("name")), "|").alias("names"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), b AS (SELECT *, regexp_replace(trim(line), '[\s\-‐‑–—·．.()（）,，/:：]+', '', 'g') AS bare FROM l),
@@ -46,65 +57,77 @@ def preview_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(V.preview_text(F.col("text"))).alias("digest"))
 
 
-TASTES = "('辛、甘，温。归肺经', '归脾、胃经。'), ('苦,寒。', '归心，肝,胆'), ('无味。', '无'), ('微苦、平', '归肾经、归')"
+TASTES = [("辛、甘，温。归肺经", "归脾、胃经。"), ("苦,寒。", "归心，肝,胆"), ("无味。", "无"), ("微苦、平", "归肾经、归"), ("@、辛，热。", "归@、肺。")]
 
 
-@query(rf"""WITH t(taste, course) AS (VALUES {TASTES}), p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(split_part(taste, '。', 1), '[、，,]'), lambda x: trim(x)), lambda x: x <> '') AS a,
+@query(rf"""WITH {given_sql(TASTES, 'taste, course')}, p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(split_part(taste, '。', 1), '[、，,]'), lambda x: trim(x)), lambda x: x <> '') AS a,
   list_filter(list_transform(regexp_split_to_array(replace(CASE WHEN strpos(course, '归') > 0 THEN substr(course, strpos(course, '归') + 1) ELSE course END, '。', ''), '[、，,]'), lambda x: trim(x)), lambda x: x <> '') AS b FROM t)
-SELECT taste, array_to_string(list_filter(a, lambda x: x IN ('辛', '甘', '苦', '酸', '咸', '淡', '涩')), '|') AS flavors, list_filter(a, lambda x: x IN ('寒', '热', '温', '凉', '平', '微寒', '微温'))[1] AS nature,
+SELECT p_partkey, taste, array_to_string(list_filter(a, lambda x: x IN ('辛', '甘', '苦', '酸', '咸', '淡', '涩')), '|') AS flavors, list_filter(a, lambda x: x IN ('寒', '热', '温', '凉', '平', '微寒', '微温'))[1] AS nature,
   array_to_string(list_transform(b, lambda x: CASE WHEN x LIKE '%经' THEN x ELSE x || '经' END), '|') AS meridians FROM p""")
 def tastes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = given(spark, TASTES, "taste, course").withColumn("f", V.flavors_and_nature(F.col("taste")))
-    return t.select("taste", F.array_join("f.flavors", "|").alias("flavors"), F.col("f.nature").alias("nature"), F.array_join(V.meridians(F.col("course")), "|").alias("meridians"))
+    t = given(spark, sf_dir, TASTES, "taste, course").withColumn("f", V.flavors_and_nature(F.col("taste")))
+    return t.select("p_partkey", "taste", F.array_join("f.flavors", "|").alias("flavors"), F.col("f.nature").alias("nature"), F.array_join(V.meridians(F.col("course")), "|").alias("meridians"))
 
 
-TAGS = "('气虚(Qi Def)', 'SNOMED:123456|气虚'), ('血瘀', 'snomed:0123456|瘀'), ('湿热(a)(B) ', 'SNOMED:123456|SNOMED:654321'), ('(x) tail', 'none'), ('痰(TAG)', 'snomed:123456|SNOMED:123456')"
+TAGS = [("气虚(Qi Def)", "SNOMED:123456|气虚"), ("血瘀", "snomed:0123456|瘀"), ("湿热(a)(B) ", "SNOMED:123456|SNOMED:654321"), ("(x) tail", "none"), ("痰(TAG)", "snomed:123456|SNOMED:123456"), ("痰@(Tag @)", "SNOMED:7654321|@")]
 
 
-@query(rf"""WITH t(name, aliases) AS (VALUES {TAGS}), s AS (SELECT *, list_distinct(list_transform(list_filter(string_split(aliases, '|'), lambda a: lower(a) LIKE 'snomed:%'), lambda a: regexp_extract(a, '^(?i:SNOMED):([1-9][0-9]{{5,17}})$', 1))) AS ids FROM t),
+@query(rf"""WITH {given_sql(TAGS, 'name, aliases')}, s AS (SELECT *, list_distinct(list_transform(list_filter(string_split(aliases, '|'), lambda a: lower(a) LIKE 'snomed:%'), lambda a: regexp_extract(a, '^(?i:SNOMED):([1-9][0-9]{{5,17}})$', 1))) AS ids FROM t),
 r AS (SELECT *, CASE WHEN list_contains(ids, '') THEN 'invalid_snomed_id' WHEN len(ids) > 1 THEN 'multiple_snomed_ids' END AS reason FROM s)
-SELECT name, CASE WHEN regexp_matches(name, '\([^()]*\)\s*$') THEN lower(regexp_extract(name, '\(([^()]*)\)\s*$', 1)) ELSE '<none>' END AS tag, CASE WHEN reason IS NULL THEN ids[1] END AS id, reason FROM r""")
+SELECT p_partkey, name, CASE WHEN regexp_matches(name, '\([^()]*\)\s*$') THEN lower(regexp_extract(name, '\(([^()]*)\)\s*$', 1)) ELSE '<none>' END AS tag, CASE WHEN reason IS NULL THEN ids[1] END AS id, reason FROM r""")
 def condition_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = given(spark, TAGS.replace("\\", "\\\\"), "name, aliases").withColumn("s", V.one_snomed(F.split("aliases", r"\|")))
-    return t.select("name", V.trailing_tag(F.col("name")).alias("tag"), "s.id", "s.reason")
+    t = given(spark, sf_dir, TAGS, "name, aliases").withColumn("s", V.one_snomed(F.split("aliases", r"\|")))
+    return t.select("p_partkey", "name", V.trailing_tag(F.col("name")).alias("tag"), "s.id", "s.reason")
 
 
-ALIASES = "('黄芪|绵芪||黄芪', '北芪_x000D_ 口芪'), ('Radix|根', 'radix'), ('', '当归'), ('|', NULL)"
+ALIASES = [("黄芪|绵芪||黄芪", "北芪_x000D_ 口芪"), ("Radix|根", "radix"), ("", "当归"), ("|", None), ("黄@|当@", "当@_x000D_芪@|@")]
 
 
-@query(rf"""WITH t(a, b) AS (VALUES {ALIASES}), p AS (SELECT a, b, list_filter(list_transform(list_concat(regexp_split_to_array(coalesce(a, ''), '\|+|_x000D_\s*|[\r\n]+'), regexp_split_to_array(coalesce(b, ''), '\|+|_x000D_\s*|[\r\n]+')), lambda x: trim(x)), lambda x: x <> '' AND regexp_matches(x, '[㐀-鿿]')) AS k FROM t)
-SELECT a, array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i), '|') AS aliases FROM p""")
+@query(rf"""WITH {given_sql(ALIASES, 'a, b')}, p AS (SELECT p_partkey, a, b, list_filter(list_transform(list_concat(regexp_split_to_array(coalesce(a, ''), '\|+|_x000D_\s*|[\r\n]+'), regexp_split_to_array(coalesce(b, ''), '\|+|_x000D_\s*|[\r\n]+')), lambda x: trim(x)), lambda x: x <> '' AND regexp_matches(x, '[㐀-鿿]')) AS k FROM t)
+SELECT p_partkey, a, array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i), '|') AS aliases FROM p""")
 def alias_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, ALIASES, "a, b").select("a", F.array_join(V.aliases_of(F.col("a"), F.col("b")), "|").alias("aliases"))
+    return given(spark, sf_dir, ALIASES, "a, b").select("p_partkey", "a", F.array_join(V.aliases_of(F.col("a"), F.col("b")), "|").alias("aliases"))
 
 
-ENDS = "('方剂~桂枝汤_1'), ('方剂~ '), ('无'), ('a~b~c'), (' 药材 ~ 桂枝 ')"
+ENDS = [("方剂~桂枝汤_1",), ("方剂~ ",), ("无",), ("a~b~c",), (" 药材 ~ 桂枝 ",), ("方剂~@_12",), (" @ ~ 参@ ",)]
 
 
-@query(rf"""WITH t(raw) AS (VALUES {ENDS}), p AS (SELECT raw, list_transform(string_split(raw, '~'), lambda x: trim(x)) AS a FROM t), g AS (SELECT raw, CASE WHEN len(a) = 2 AND a[1] <> '' AND a[2] <> '' THEN a END AS a FROM p)
-SELECT raw, a[1] AS kind, a[2] AS name, nullif(regexp_extract(a[2], '^(.+)_([0-9]+)$', 1), '') AS base FROM g""")
+@query(rf"""WITH {given_sql(ENDS, 'raw')}, p AS (SELECT p_partkey, raw, list_transform(string_split(raw, '~'), lambda x: trim(x)) AS a FROM t), g AS (SELECT p_partkey, raw, CASE WHEN len(a) = 2 AND a[1] <> '' AND a[2] <> '' THEN a END AS a FROM p)
+SELECT p_partkey, raw, a[1] AS kind, a[2] AS name, nullif(regexp_extract(a[2], '^(.+)_([0-9]+)$', 1), '') AS base FROM g""")
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = given(spark, ENDS, "raw").withColumn("e", V.endpoint(F.translate("raw", "~", "\t")))
-    return e.select("raw", "e.kind", "e.name", V.numbered_base(F.col("e.name")).alias("base"))
+    e = given(spark, sf_dir, ENDS, "raw").withColumn("e", V.endpoint(F.translate("raw", "~", "\t")))
+    return e.select("p_partkey", "raw", "e.kind", "e.name", V.numbered_base(F.col("e.name")).alias("base"))
 
 
-TOKENS = "('黄芪。'), ('注射用水'), ('等三种'), ('，当归，'), ('a'), ('同仁堂丸'), ('川芎（酒炙'), ('一二三四五六七八九十甲乙丙')"
+TOKENS = [("黄芪。",), ("注射用水",), ("等三种",), ("，当归，",), ("a",), ("同仁堂丸",), ("川芎（酒炙",), ("一二三四五六七八九十甲乙丙",), ("@参。",), ("，@（炒",)]
 
 
-@query(f"""WITH t(token) AS (VALUES {TOKENS}), s AS (SELECT token, regexp_replace(trim(token), '^[。；;，,、]+|[。；;，,、]+$', '', 'g') AS b FROM t)
-SELECT token, CASE WHEN length(b) BETWEEN 2 AND 12 AND b NOT LIKE '%注射%' AND NOT (b LIKE '%等%' AND b LIKE '%种%') AND b NOT LIKE '%同仁堂%' THEN b END AS herb, token LIKE '%注射%' OR token LIKE '%同仁堂%' AS dropped, trim(regexp_replace(token, '[（(][^）)]*$', '')) AS open_tail FROM s""")
+@query(f"""WITH {given_sql(TOKENS, 'token')}, s AS (SELECT p_partkey, token, regexp_replace(trim(token), '^[。；;，,、]+|[。；;，,、]+$', '', 'g') AS b FROM t)
+SELECT p_partkey, token, CASE WHEN length(b) BETWEEN 2 AND 12 AND b NOT LIKE '%注射%' AND NOT (b LIKE '%等%' AND b LIKE '%种%') AND b NOT LIKE '%同仁堂%' THEN b END AS herb, token LIKE '%注射%' OR token LIKE '%同仁堂%' AS dropped, trim(regexp_replace(token, '[（(][^）)]*$', '')) AS open_tail FROM s""")
 def herb_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, TOKENS, "token").select("token", V.herb_token(F.col("token")).alias("herb"), V.bad_name(F.col("token")).alias("dropped"), V.open_tail(F.col("token")).alias("open_tail"))
+    return given(spark, sf_dir, TOKENS, "token").select("p_partkey", "token", V.herb_token(F.col("token")).alias("herb"), V.bad_name(F.col("token")).alias("dropped"), V.open_tail(F.col("token")).alias("open_tail"))
+
+
+TERMS = [("a", 0, "head"), ("a", 1, "2.1"), ("a", 2, "感冒@"), ("a", 3, "common cold"), ("a", 4, "因外感而发"), ("a", 5, " 的病 "), ("a", 6, "2.1.1"), ("a", 7, "指甲病"), ("a", 8, ""), ("a", 9, "指甲的病"), ("a", 10, "3.2"), ("a", 11, "3.3"), ("a", 12, "咳嗽@"), ("b", 0, "1.2"), ("b", 1, "注目@"), ("b", 2, "泛指看")]
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a book of one of two kinds, with its brand in place of @."""
+    kinds = {k: F.array(*[F.struct(F.lit(n).alias("line_no"), F.lit(line).alias("line")) for p, n, line in TERMS if p == k]) for k in "ab"}
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.explode(F.when(F.col("p_partkey") % 2 == 0, kinds["a"]).otherwise(kinds["b"])).alias("v"))
+    return rows.select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b"), "p_partkey").alias("path"), "v.line_no", F.replace("v.line", F.lit("@"), F.col("p_brand")).alias("line"))
 
 
-TERMS = """('a', 0, 'head'), ('a', 1, '2.1'), ('a', 2, '感冒'), ('a', 3, 'common cold'), ('a', 4, '因外感而发'), ('a', 5, ' 的病 '), ('a', 6, '2.1.1'), ('a', 7, '指甲病'), ('a', 8, ''), ('a', 9, '指甲的病'), ('a', 10, '3.2'), ('a', 11, '3.3'), ('a', 12, '咳嗽'), ('b', 0, '1.2'), ('b', 1, '注目'), ('b', 2, '泛指看')"""
+def books_sql() -> str:
+    values = ", ".join(f"('{p}', {n}, '{line}')" for p, n, line in TERMS)
+    return f"t AS (SELECT v.path || p_partkey AS path, line_no, replace(v.line, '@', p_brand) AS line FROM part JOIN (VALUES {values}) v(path, line_no, line) ON v.path = CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END)"
 
 
-@query(rf"""WITH t(path, line_no, line) AS (VALUES {TERMS}), n AS (SELECT path, line_no, trim(line) AS line FROM t WHERE trim(line) <> ''), g AS (SELECT *, sum(regexp_matches(line, '^[0-9]+(?:\.[0-9]+)+$')::INT) OVER (PARTITION BY path ORDER BY line_no) AS term FROM n),
+@query(rf"""WITH {books_sql()}, n AS (SELECT path, line_no, trim(line) AS line FROM t WHERE trim(line) <> ''), g AS (SELECT *, sum(regexp_matches(line, '^[0-9]+(?:\.[0-9]+)+$')::INT) OVER (PARTITION BY path ORDER BY line_no) AS term FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY path, term ORDER BY line_no) AS nth FROM g WHERE term > 0), d AS (SELECT *, max((nth > 2 AND regexp_matches(line, '^(因|泛指|与|指|临床|注)'))::INT) OVER (PARTITION BY path, term ORDER BY line_no) AS defined FROM r)
 SELECT path, arg_min(line, line_no) AS code, string_agg(line, '|' ORDER BY line_no) FILTER (nth > 1 AND defined = 0) AS names, coalesce(string_agg(line, '' ORDER BY line_no) FILTER (defined = 1), '') AS definition FROM d GROUP BY path, term HAVING count_if(nth > 1 AND defined = 0) > 0""")
 def numbered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.numbered_terms(given(spark, TERMS, "path, line_no, line"), "path").select("path", "code", F.array_join("names", "|").alias("names"), "definition")
+    return L.numbered_terms(books(spark, sf_dir), "path").select("path", "code", F.array_join("names", "|").alias("names"), "definition")
 
 
 @query("""WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM f) AS total, 21 AS page, (SELECT count(*) FROM f) > 420 AS has_more FROM f ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 400""")
@@ -228,13 +251,13 @@ def tool_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(V.tool_payload(F.col("props")), "$.k").alias("k"), V.stamp(ts).alias("at"), V.elapsed_ms(F.date_trunc("second", ts), ts).alias("ms"))
 
 
-CASES = "('王某，男，45岁，电话13812345678。', '头痛', NULL), ('例某', NULL, '住院号:123')"
+CASES = [("王某，男，45岁，电话13812345678。", "头痛", None), ("例某", None, "住院号:123"), ("李某，@，电话13912345678", "@", None)]
 
 
-@query(f"""WITH t(a, b, c) AS (VALUES {CASES}), j AS (SELECT a, a || chr(10) || coalesce(b, '') || chr(10) || coalesce(c, '') AS x FROM t)
-SELECT a, replace(replace(replace(replace(x, '王某', '患者'), '例某', '患者'), '13812345678', '[已过滤电话]'), '住院号:123', '住院号[已过滤]') AS cleaned FROM j""")
+@query(f"""WITH {given_sql(CASES, 'a, b, c')}, j AS (SELECT p_partkey, a, a || chr(10) || coalesce(b, '') || chr(10) || coalesce(c, '') AS x FROM t)
+SELECT p_partkey, a, replace(regexp_replace(replace(replace(replace(x, '王某', '患者'), '李某', '患者'), '例某', '患者'), '13[89]12345678', '[已过滤电话]'), '住院号:123', '住院号[已过滤]') AS cleaned FROM j""")
 def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, CASES, "a, b, c").select("a", V.case_text(V.clinical_text(F.col("a"), F.col("b"), F.col("c"))).alias("cleaned"))
+    return given(spark, sf_dir, CASES, "a, b, c").select("p_partkey", "a", V.case_text(V.clinical_text(F.col("a"), F.col("b"), F.col("c"))).alias("cleaned"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_brand END AS snippet, coalesce(CASE WHEN p_size % 4 < 2 THEN 'part:' || p_partkey END, p_name) AS node_key, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS origin,
