@@ -3,6 +3,7 @@
 import pytest
 
 from trellis.operators import edge_writes as E
+from trellis.sources.manifests import Conflict, Manifests
 from trellis.sources.readers import BadInput
 
 EDGES = ", ".join(f"{c} string" for c in ["label", "name", "rel", "target", "scope", *E.META, *E.FILLED])
@@ -56,7 +57,7 @@ def test_a_load_that_breaks_off_leaves_no_trace(spark, tmp_path, monkeypatch):
     table.load("one", plain(spark, [{"rel": "组成药材", "target": "参"}]))
     before = rows_in(table)
     with monkeypatch.context() as m:
-        m.setattr(E.EdgeTable, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        m.setattr(Manifests, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError, match="lost"):
             table.load("two", plain(spark, [{"rel": "组成药材", "target": "芪"}]))
     assert rows_in(table) == before and table.manifest()["version"] == 1
@@ -66,6 +67,6 @@ def test_a_load_that_breaks_off_leaves_no_trace(spark, tmp_path, monkeypatch):
 def test_of_two_loads_at_a_time_one_is_refused(spark, tmp_path):
     table = E.EdgeTable(spark, f"file://{tmp_path}/edges", buckets=2)
     table.load("one", plain(spark, [{"rel": "组成药材", "target": "参"}]))
-    with pytest.raises(E.LoadConflict):
-        table._commit({"version": 1, "buckets": {}, "loads": {}})
+    with pytest.raises(Conflict):
+        table.manifests.commit({"version": 1, "buckets": {}, "loads": {}})
     assert len(rows_in(table)) == 1

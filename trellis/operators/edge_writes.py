@@ -15,7 +15,6 @@ and no bucket; a table without a version is empty.
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import lookup_names
 from ..functions.vocabulary import EDGE_TARGETS
+from ..sources.manifests import Manifests
 from ..sources.readers import BadInput
 
 BUCKETS = 16
@@ -33,10 +33,6 @@ META, FILLED = ["source_id", "batch_id", "unit_id", "prompt_hash"], ["dosage", "
 TABLE = ", ".join(f"{c} string" for c in [*KEY, *META, *FILLED]) + ", load string, bucket int"
 
 
-class LoadConflict(RuntimeError):
-    """Another load made the next version first."""
-
-
 def resolved(edges: DataFrame, written: DataFrame, existing: DataFrame, targets: dict[str, tuple[str, ...]] = EDGE_TARGETS) -> DataFrame:
     """edges with target_label and target_name (null: dangling). edges: ordinal, label, name, rel, target, scope and META and
     FILLED; written: label, given, name (what this load wrote under a given name); existing: id, label, name, aliases."""
@@ -85,32 +81,11 @@ class EdgeTable:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _path(self, name: str):  # noqa: ANN202
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        self.manifests = Manifests(spark, folder, {"buckets": {}, "loads": {}})
 
     def manifest(self) -> dict:
         """The newest version: version, buckets (folder of each), loads (what each did)."""
-        at = self._path("manifests")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        found = sorted(n for n in names if n.endswith(".json"))
-        if not found:
-            return {"version": 0, "buckets": {}, "loads": {}}
-        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{found[-1]}", wholetext=True).first()[0])
-
-    def _commit(self, manifest: dict) -> None:
-        """Creates the version's manifest; only one load can."""
-        final = self._path(f"manifests/{manifest['version']:012d}.json")
-        try:
-            out = self._fs.create(final, False)
-        except Exception as e:
-            raise LoadConflict(f"version {manifest['version']} is there already") from e
-        try:
-            out.write(json.dumps(manifest, sort_keys=True).encode())
-        finally:
-            out.close()
+        return self.manifests.newest()
 
     def read(self, manifest: dict | None = None, only: list[int] | None = None) -> DataFrame:
         held = (manifest or self.manifest())["buckets"]
@@ -142,6 +117,6 @@ class EdgeTable:
         if new["own"] != counts["keys"] or not 0 <= created <= counts["keys"]:
             raise RuntimeError(f"{counts['keys']} keys were planned, {new['own']} were written")
         told = {"version": version, "rows": counts["rows"], "keys": counts["keys"], "created": created, "updated": counts["keys"] - created, "dangling": edges.where("target_name IS NULL").count()}
-        self._commit({"version": version, "buckets": after, "loads": before["loads"] | {name: told}})
-        self._fs.delete(self._path(f"{part}-incoming"), True)
+        self.manifests.commit({"version": version, "buckets": after, "loads": before["loads"] | {name: told}})
+        self.manifests.delete(f"{part}-incoming")
         return told
