@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from . import cleaner_queries, compendium_queries, corpus_queries, edge_write_queries, entry_queries, graph_queries, mention_queries, prescription_queries, publish_queries, record_queries, state_queries, value_queries  # noqa: E402, F401  they register themselves
+from . import cleaner_queries, compendium_queries, corpus_queries, edge_write_queries, entry_queries, graph_queries, labelled_case_queries, mention_queries, prescription_queries, publish_queries, record_queries, state_queries, value_queries  # noqa: E402, F401  they register themselves
