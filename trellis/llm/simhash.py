@@ -33,7 +33,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -111,11 +110,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return stash(texts.mapInArrow(_prints, f"doc_id {kind}, _text long, print long"), "prints")
 
 
-def _filed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        prints = frame["print"].to_numpy()
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = batch.column("print").to_numpy()
         rows, files = files_of(distance_table(prints.view(np.uint64)))
-        yield pd.DataFrame({"file": files, "print": prints[rows]})
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(prints[rows], pa.int64())], ["file", "print"])
 
 
 def _linked(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -135,22 +134,22 @@ def _linked(prints: np.ndarray) -> list[tuple[int, int]]:
     return [(int(prints[x]), int(prints[root(x)])) for x in range(len(prints)) if root(x) != x]
 
 
-def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        links = [p for row in frame["prints"] if len(row) > 1 for p in _linked(np.asarray(row, dtype=np.int64))]
-        yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = [p for row in batch.column("prints") if len(row.values) > 1 for p in _linked(row.values.to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def links(prints: DataFrame) -> DataFrame:
     """a, b: links between the distinct fingerprints of column ``print`` with the components of all pairs within RADIUS."""
     distinct = prints.select("print").distinct()
-    filed = stash(distinct.mapInPandas(_filed, "file long, print long"), "filed")
+    filed = stash(distinct.mapInArrow(_filed, "file long, print long"), "filed")
     # sizes first, from counts that add up map-side; no list is built of a crowded file
     sizes = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = stash(sizes, "files")
     shared = filed.join(sizes.where(F.col("n") <= CROWD), "file")
     lists = shared.groupBy("file").agg(F.collect_list("print").alias("prints")).select("prints")
-    near = lists.mapInPandas(_compared, "a long, b long")
+    near = lists.mapInArrow(_compared, "a long, b long")
     crowded = filed.join(sizes.where(F.col("n") > CROWD), "file", "left_semi").select("print").distinct()
     ball = crowded.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("centre"))
     least = ball.groupBy("centre").agg(F.min("print").alias("b"), F.max("print").alias("_most")).where("b < _most").select("centre", "b")
