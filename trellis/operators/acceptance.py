@@ -30,7 +30,7 @@ def _has(edge_type: str) -> Column:
     return F.exists("edges", lambda e: e["type"] == edge_type)
 
 
-def own_rules(batch_id: str | None) -> dict[str, Column]:
+def own_rules(batch_id: str | None, forbidden: tuple[str, ...] = FORBIDDEN) -> dict[str, Column]:
     """Rules that a record breaks by itself."""
     is_a, name = lambda t: F.col("node_type") == t, F.col("node_name")
     rules = {
@@ -40,7 +40,7 @@ def own_rules(batch_id: str | None) -> dict[str, Column]:
         "病证 emitted 治疗病证": is_a("病证") & _has("治疗病证"),
         "治疗病证 from unsupported type": ~F.col("node_type").isin(*TREATING) & _has("治疗病证"),
         "vague 病证": is_a("病证") & name.isin(*VAGUE),
-        "forbidden 治法": is_a("治法") & name.isin(*FORBIDDEN),
+        "forbidden 治法": is_a("治法") & name.isin(*forbidden),
         "医案 missing 治疗病证": is_a("医案") & ~_has("治疗病证"),
         "医案 missing intervention": is_a("医案") & ~F.exists("edges", lambda e: e["type"].isin(*INTERVENTIONS)),
         "方剂 missing 组成药材 despite dosage text": is_a("方剂") & F.coalesce(F.col("evidence_text"), F.lit("")).rlike(DOSAGE) & ~_has("组成药材"),
@@ -50,18 +50,18 @@ def own_rules(batch_id: str | None) -> dict[str, Column]:
     return rules
 
 
-def broken(records: DataFrame, units: DataFrame, targets: dict[str, tuple[str, ...]], batch_id: str | None = None) -> DataFrame:
+def broken(records: DataFrame, units: DataFrame, targets: dict[str, tuple[str, ...]], batch_id: str | None = None, source_name: str = SOURCE_NAME, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
     """(rule, detail) for everything that breaks a rule. ``units``: the unit_ids that must occur; ``targets``: the
-    node types that an edge type may lead to."""
+    node types that an edge type may lead to; ``source_name``: the source that a skipped unit may name."""
     rows = records.withColumn("edges", F.coalesce("edges", F.array().cast(records.schema["edges"].dataType)))
-    hits = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in own_rules(batch_id).items()]))
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in own_rules(batch_id, forbidden).items()]))
     out = rows.select(F.explode(hits).alias("rule"), F.col("node_name").alias("detail"))
 
     rule = lambda df, name, detail: df.select(F.lit(name).alias("rule"), detail.alias("detail"))
     reason = F.col("props")["skip_reason"]
     out = out.unionByName(rule(units.select("unit_id").distinct().join(records, "unit_id", "left_anti"), "missing units", F.col("unit_id")))
     skipped = rows.where(reason == SKIPPED).select("unit_id").distinct()
-    named = (F.col("node_type") == "来源") & (F.col("node_name") == SOURCE_NAME)
+    named = (F.col("node_type") == "来源") & (F.col("node_name") == source_name)
     out = out.unionByName(rule(rows.where(~named).join(skipped, "unit_id", "left_semi"), "skip unit has knowledge", F.concat_ws(":", "node_type", "node_name")))
 
     edges = rows.select(F.explode("edges").alias("e")).select("e.type", "e.target")

@@ -192,10 +192,10 @@ def edge_first_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL} SELECT id, CASE label WHEN 'supplier' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END AS rank, row_number() OVER (ORDER BY CASE label WHEN 'supplier' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END, name, id) AS place FROM nodes WHERE label IN ('region', 'nation', 'supplier')""")
 def record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by the rank of their kind, then by name."""
-    from pyspark.sql import Window as W
+    from ..sources.sinks import numbered
 
     ranked = L.by_rank(nodes(spark, sf_dir).where("label IN ('region', 'nation', 'supplier')"), "label", ["supplier", "nation"], ["name", "id"])
-    return ranked.select("id", F.col("rank").cast("int").alias("rank"), F.row_number().over(W.orderBy("rank", "name", "id")).cast("long").alias("place"))
+    return numbered(ranked, ["rank", "name", "id"], "place").select("id", F.col("rank").cast("int").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F'))) AS only_left, 0::BIGINT AS only_right""")

@@ -29,11 +29,16 @@ def json_lines(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
 
-def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Rows with the number of their fixed-size batch, in order. Ranges of the order are numbered one by one
-    and their counts added up, so that no window holds the whole table."""
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place in a total order, from 1. Ranges of the order are numbered one by one and their counts
+    added up, so that no window holds the whole table."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     inside = F.row_number().over(W.partitionBy("_p").orderBy(*order))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    return ranged.withColumn("_i", inside).join(before.select("_p", "_b"), "_p").withColumn("batch", F.floor((F.col("_b") + F.col("_i") - 1) / size)).drop("_p", "_i", "_b")
+    return ranged.withColumn("_i", inside).join(before.select("_p", "_b"), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Rows with the number of their fixed-size batch, in order."""
+    return numbered(df, order, "_at").withColumn("batch", F.floor((F.col("_at") - 1) / size)).drop("_at")
