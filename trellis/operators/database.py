@@ -10,7 +10,7 @@ its own (repeats stay); empty tables give no rows and counts of 0.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ class Entity:
     node_type: str
     columns: dict[str, str]
     warned: bool = False
+    #: Properties that every row has.
+    fixed: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -47,10 +49,11 @@ def entity_rows(tables: dict[str, DataFrame], entities: dict[str, Entity]) -> Da
     for table, e in entities.items():
         rows = tables[table]
         value = lambda c: F.nullif(strip_ws(F.col(c).cast("string")), F.lit(""))
-        bag = F.map_filter(F.create_map(*[x for c, p in e.columns.items() for x in (F.lit(p), value(c))]), lambda k, v: v.isNotNull()) if e.columns else F.create_map().cast("map<string,string>")
+        pairs = [(p, value(c)) for c, p in e.columns.items()] + [(p, F.lit(v)) for p, v in e.fixed.items()]
+        bag = F.map_filter(F.create_map(*[x for p, v in pairs for x in (F.lit(p), v)]), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
         name = canonical_name(F.coalesce(F.col("name"), F.lit("")), F.lit(e.node_type), WHOLE_NAMES)
         part = rows.select(F.lit(table).alias("table"), F.col("id").cast("long").alias("id"), F.lit(e.node_type).alias("node_type"), name.alias("name"), bag.alias("props"))
-        warned = formula_warnings(F.col("name")) if e.warned else F.array().cast("array<string>")
+        warned = formula_warnings(name) if e.warned else F.array().cast("array<string>")
         part = part.withColumn("warnings", warned)
         out = part if out is None else out.unionByName(part)
     return out
@@ -89,3 +92,8 @@ def clean(tables: dict[str, DataFrame], entities: dict[str, Entity], relations:
     routed = routed.unionByName(count(aside, "conflicting_groups", F.count(F.lit(1)))).unionByName(count(aside, "conflicting_rows", F.sum("n_rows"))).unionByName(count(nodes, "nodes", F.count(F.lit(1))))
     routed = routed.unionByName(edges.groupBy("route").agg(F.count(F.lit(1)).alias("n")))
     return nodes, edges.where("route = 'edge'").drop("route"), routed
+
+
+def evidence(nodes: DataFrame) -> DataFrame:
+    """node_type, node_name, ref: the rows that each node comes from, one a row."""
+    return nodes.select("node_type", "node_name", F.explode("ids").alias("id"), "table").select("node_type", "node_name", F.concat_ws(":", "table", "id").alias("ref"))

@@ -92,7 +92,7 @@ def _database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
         "formula_herbs": table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_rowid"), "l_partkey", "l_suppkey", "l_returnflag"),
         "syndrome_symptoms": nation.select(F.col("n_nationkey").alias("_rowid"), F.col("n_nationkey").alias("syndrome_id"), F.col("n_nationkey").alias("symptom_id")),
     }
-    entities = {"herbs": Entity("药材", {}), "formulas": Entity("方剂", {"p_type": "category"}, warned=True), "syndromes": Entity("病证", {}), "symptoms": Entity("症状", {})}
+    entities = {"herbs": Entity("药材", {}), "formulas": Entity("方剂", {"p_type": "category"}, warned=True), "syndromes": Entity("病证", {}, fixed={"tcm_type": "来源标注证候"}), "symptoms": Entity("症状", {})}
     relations = {"formula_herbs": Relation(("formulas", "l_partkey"), ("herbs", "l_suppkey"), "组成药材", "l_returnflag"), "syndrome_symptoms": Relation(("syndromes", "syndrome_id"), ("symptoms", "symptom_id"), "关联症状", names_differ=True)}
     return clean(tables, entities, relations)
 
@@ -102,10 +102,10 @@ g AS (SELECT name, min(p_type) AS category, min(p_type) <> max(p_type) AS confli
 l AS (SELECT l_orderkey * 10 + l_linenumber AS rowid, g.name AS node_name, s_name AS target, l_returnflag AS dosage FROM lineitem LEFT JOIN f ON l_partkey = p_partkey LEFT JOIN g ON g.name = f.name AND NOT g.conflict AND NOT f.warned LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-@query(f"""WITH {DATABASE_SQL} SELECT '方剂' AS node_type, name AS node_name, category, ids FROM g WHERE NOT conflict UNION ALL SELECT '药材', s_name, NULL, s_suppkey::VARCHAR FROM supplier UNION ALL SELECT '病证', n_name, NULL, n_nationkey::VARCHAR FROM nation
-UNION ALL SELECT '症状', CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 's ' || n_name END, NULL, n_nationkey::VARCHAR FROM nation""")
+@query(f"""WITH {DATABASE_SQL} SELECT '方剂' AS node_type, name AS node_name, category, ids, NULL AS tcm_type FROM g WHERE NOT conflict UNION ALL SELECT '药材', s_name, NULL, s_suppkey::VARCHAR, NULL FROM supplier UNION ALL SELECT '病证', n_name, NULL, n_nationkey::VARCHAR, '来源标注证候' FROM nation
+UNION ALL SELECT '症状', CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 's ' || n_name END, NULL, n_nationkey::VARCHAR, NULL FROM nation""")
 def database_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _database(spark, sf_dir)[0].select("node_type", "node_name", F.col("props")["category"].alias("category"), F.array_join("ids", ",").alias("ids"))
+    return _database(spark, sf_dir)[0].select("node_type", "node_name", F.col("props")["category"].alias("category"), F.array_join("ids", ",").alias("ids"), F.col("props")["tcm_type"].alias("tcm_type"))
 
 
 @query(f"""WITH {DATABASE_SQL} SELECT rowid, '方剂' AS node_type, node_name, '组成药材' AS type, target, dosage FROM l WHERE node_name IS NOT NULL AND target IS NOT NULL UNION ALL SELECT n_nationkey, '病证', n_name, '关联症状', 's ' || n_name, NULL FROM nation WHERE n_nationkey % 4 <> 0""")
@@ -113,6 +113,14 @@ def database_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _database(spark, sf_dir)[1].select("rowid", "node_type", "node_name", "type", "target", "dosage")
 
 
+@query(f"""WITH {DATABASE_SQL} SELECT '方剂' AS node_type, f.name AS node_name, 'formulas:' || p_partkey AS ref FROM f JOIN g ON g.name = f.name AND NOT g.conflict WHERE NOT warned UNION ALL SELECT '药材', s_name, 'herbs:' || s_suppkey FROM supplier
+UNION ALL SELECT '病证', n_name, 'syndromes:' || n_nationkey FROM nation UNION ALL SELECT '症状', CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 's ' || n_name END, 'symptoms:' || n_nationkey FROM nation""")
+def database_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.database import evidence
+
+    return evidence(_database(spark, sf_dir)[0])
+
+
 @query(f"""WITH {DATABASE_SQL} SELECT 'name_warning_rows' AS route, count(*) AS n FROM f WHERE warned UNION ALL SELECT 'name_warning_events', count(*) + count_if(length(name) > 8 AND regexp_matches(name, '[。，.,；;：:！!？?]')) FROM f WHERE warned
 UNION ALL SELECT 'conflicting_groups', count(*) FROM g WHERE conflict UNION ALL SELECT 'conflicting_rows', sum(n_rows)::BIGINT FROM g WHERE conflict UNION ALL SELECT 'nodes', (SELECT count(*) FROM g WHERE NOT conflict) + (SELECT count(*) FROM supplier) + 2 * (SELECT count(*) FROM nation)
 UNION ALL SELECT 'quarantined_endpoint', count(*) FROM l WHERE node_name IS NULL OR target IS NULL UNION ALL SELECT 'same_name_edge', count(*) FROM nation WHERE n_nationkey % 4 = 0
