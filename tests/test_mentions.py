@@ -80,3 +80,14 @@ def test_empty(spark):
     lines = spark.createDataFrame([], "key long, line_no long, line string")
     names = spark.createDataFrame([], "name string, node_type string")
     assert M.mentions(M.buffers(lines, "key", 40), ["key", "start"], names).collect() == []
+
+
+def test_names_that_tasks_hold_make_no_rows_of_places(spark):
+    rows = corpus()
+    chunks = M.buffers(spark.createDataFrame(rows, "key long, line_no long, line string"), "key", 40, SKIP)
+    lexicon = ["人参", "人参汤", "参汤", "黄芪", "ab", "abc", "abcd", "bcde", "é😀", "😀x", "the long name of it", "absent", "甘草 "]
+    names = spark.createDataFrame([(n, "t") for n in lexicon] + [("x", "t"), (None, "t")], "name string, node_type string")
+    held, joined = M.mentions(chunks, ["key", "start"], names), M.mentions(chunks, ["key", "start"], names, held=5)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "window" in plan(joined) and "window" not in plan(held)
+    assert {tuple(r) for r in held.select("key", "start", "name", "node_type", "at").collect()} == {tuple(r) for r in joined.select("key", "start", "name", "node_type", "at").collect()}

@@ -1,8 +1,9 @@
 """Mentions of a lexicon of any size in a corpus: buffers of lines, matches by prefix, the first mention of every name.
 
-The lexicon stays a table. What tasks get of it is a bitmap of fixed size, in which its prefixes are marked: places of a
-text whose prefix is marked become rows and meet the names of that prefix in a join. A buffer's matches are then walked
-once, leftmost first, the longest at a place, none overlapping.
+A lexicon of up to HELD names goes to the tasks, which walk each buffer once, leftmost first, the longest at a place, none
+overlapping. A larger one stays a table: what tasks get of it is a bitmap of fixed size, in which its prefixes are marked;
+places of a text whose prefix is marked become rows and meet the names of that prefix in a join, and a buffer's matches are
+walked likewise. Both ways give the same rows.
 
 Defined cases: names are SPAN characters long, the first node type of a name counts; a null text has no lines; lines that
 are blank or match ``skip`` are passed over; a line longer than the size is a buffer of its own, as far as none is open;
@@ -24,6 +25,8 @@ from ..functions.text import strip_ws
 
 #: Shortest and longest name; characters of a prefix (shorter names: all of theirs); bits of the map.
 SPAN, PREFIX, BITS = (2, 20), 4, 1 << 20
+#: Names that tasks hold at most, of SPAN characters each: some 20 MB.
+HELD = 1 << 18
 
 
 def lexicon(parts: list[DataFrame], types: list[str]) -> DataFrame:
@@ -100,8 +103,52 @@ def candidates(chunks: DataFrame, key: list[str], marked: bytes) -> DataFrame:
     return chunks.select(*key, "text").mapInArrow(places, schema)
 
 
-def mentions(chunks: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
+def mentions(chunks: DataFrame, key: list[str], names: DataFrame, held: int = HELD) -> DataFrame:
     """key, name, node_type, at: the distinct names that each chunk mentions, with their first place."""
+    names = names.where(F.length("name").between(*SPAN)).select("name", "node_type")
+    known = names.limit(held + 1).collect()
+    return _walked(chunks, key, dict(map(tuple, known))) if len(known) <= held else _joined(chunks, key, names)
+
+
+def _walked(chunks: DataFrame, key: list[str], types: dict[str, str]) -> DataFrame:
+    """Mentions of names that tasks hold."""
+    sizes: dict[str, set[int]] = {}
+    for name in types:
+        sizes.setdefault(name[:PREFIX], set()).add(len(name))
+    lengths = {p: sorted(ns, reverse=True) for p, ns in sizes.items()}
+    schema = ", ".join(f"{c} {t}" for c, t in chunks.select(*key).dtypes) + ", at long, name string, node_type string"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ats, found = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                at, seen, last = 0, set(), len(text) - SPAN[0]
+                while at <= last:
+                    name = None
+                    for k in range(PREFIX, SPAN[0] - 1, -1):  # names shorter than a prefix are their own
+                        for n in lengths.get(text[at : at + k], ()):
+                            if (word := text[at : at + n]) in types:
+                                name = word
+                                break
+                        if name:
+                            break
+                    if name is None:
+                        at += 1
+                        continue
+                    if name not in seen:
+                        seen.add(name)
+                        rows.append(row)
+                        ats.append(at)
+                        found.append(name)
+                    at += len(name)
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in key]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(ats, pa.int64()), pa.array(found, pa.string()), pa.array([types[n] for n in found], pa.string())], [*key, "at", "name", "node_type"])
+
+    return chunks.select(*key, "text").mapInArrow(walk, schema)
+
+
+def _joined(chunks: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
+    """Mentions of names in a table of any size."""
     prefixed = names.select("name", "node_type", F.substring("name", 1, PREFIX).alias("prefix"))
     met = candidates(chunks, key, bitmap(names)).join(prefixed, "prefix").where(F.col("window").startswith(F.col("name")))
     met = met.select(*key, "at", F.length("name").alias("n"), "name", "node_type")
