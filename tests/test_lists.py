@@ -93,3 +93,19 @@ def test_terminology(spark):
 def test_terminology_refuses(spark, table, rows, said):
     with pytest.raises(BadInput, match=said):
         T.clean(tables(spark, **{table: rows}))
+
+
+def test_terminology_takes_keys_beyond_five_digits(spark, tmp_path):
+    from trellis.plans.cleaner_queries import terminology_nodes
+
+    src = "/root/testdata/sf0.001"
+    for name in ("nation", "customer", "supplier", "orders", "lineitem"):
+        spark.read.parquet(f"{src}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    part = spark.read.parquet(f"{src}/part.parquet")
+    n, kind = part.count(), part.schema["p_partkey"].dataType
+    for shift in (90000, 1000000, 1000001 + n):  # nations' numbers, and numbers that agree in their first five digits
+        part.withColumn("p_partkey", (F.col("p_partkey") + shift).cast(kind)).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    part.write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    got = {r.refs: r.stable_id for r in terminology_nodes(spark, str(tmp_path)).where("refs LIKE 'D1:%' AND node_type IN ('病证', '治法')").collect()}
+    keys = [r.p_partkey for r in part.where("p_size % 5 < 4").collect()]
+    assert got == {f"D1:record:{k + s}": f"TCMT{str(k + s).rjust(5, '0')[:5]}" for k in keys for s in (0, 90000, 1000000, 1000001 + n)}

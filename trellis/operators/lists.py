@@ -6,6 +6,8 @@ Defined cases: a filter that is null does not filter; a page past the end has no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,15 +69,17 @@ def by_rank(rows: DataFrame, kind: str, ranks: list[str], then: list[str]) -> Da
     return rows.withColumn("rank", rank).orderBy("rank", *then)
 
 
-def fold_edges(edges: DataFrame, key: list[str], keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def fold_edges(edges: DataFrame, key: list[str], keep_first: bool = False, through: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
     """(edges, conflicts) of rows with key, props (a map), evidence_ref, ordinal.
 
     Rows of one key must have equal properties; else the key is a conflict and no edge. Evidence is the union of
-    all refs, sorted and joined; with ``keep_first`` the first row's ref, the others being the node's alone.
+    all refs, sorted and joined; with ``keep_first`` the first row's ref, the others being the node's alone. ``through`` sees the folded keys before they
+    part, to write them once.
     """
     refs = F.min_by("evidence_ref", "ordinal") if keep_first else F.array_join(F.array_sort(F.collect_set("evidence_ref")), " || ")
     rows = edges.withColumn("props_json", sorted_json(F.col("props")))
     folded = rows.groupBy(*key).agg(F.min("props_json").alias("props_json"), F.max("props_json").alias("_most"), refs.alias("evidence"), F.count(F.lit(1)).alias("n"))
+    folded = through(folded)
     same = F.col("props_json") == F.col("_most")
     return folded.where(same).drop("_most"), folded.where(~same).select(*key, "n")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.bags import non_empty
 from ..functions.text import fold_key, nfc_strip
 from ..functions.values import aliases_of, in_unit_range
+from ..shared import cut
 from ..sources.readers import BadInput
 from .lists import fold_edges
 from .records import conflicts
@@ -41,11 +42,11 @@ def _refuse(rows: DataFrame, what: str) -> None:
         raise BadInput(f"{what}: {bad}")
 
 
-def checked(tables: dict[str, DataFrame]) -> None:
-    """Raises at the first promise that the tables break."""
+def checked(tables: dict[str, DataFrame], digits: int = 5) -> None:
+    """Raises at the first promise that the tables break. ``digits``: of the numbers in identifiers."""
     for name, key in (("D1", "TCMT_ID"), ("D2", "CPM_ID"), ("D6", "CHP_ID")):
         rows = tables[name]
-        _refuse(rows.where(~F.coalesce(F.col(key).rlike(f"^{key[:-3]}[0-9]{{5}}$"), F.lit(False))).select("record_no", key), f"{name} invalid {key}")
+        _refuse(rows.where(~F.coalesce(F.col(key).rlike(f"^{key[:-3]}[0-9]{{{digits}}}$"), F.lit(False))).select("record_no", key), f"{name} invalid {key}")
         _refuse(rows.groupBy(key).count().where("count > 1"), f"{name} duplicate {key}")
     d7, d18 = tables["D7"], tables["D18"].where("ICD11_code <> ''")
     _refuse(d7.where(~F.col("Class").isin(*PROPERTY_TYPES)).select("record_no", "Class"), "D7 unsupported class")
@@ -55,14 +56,15 @@ def checked(tables: dict[str, DataFrame]) -> None:
     _refuse(used.join(terms, "English_term", "left_anti"), "D7 properties missing from D1")
     _refuse(terms.join(used, "English_term", "left_semi").groupBy("English_term").count().where("count > 1"), "D1 duplicate medicinal property")
     _refuse(d18.groupBy("ICD11_code").count().where("count > 1"), "D18 duplicate ICD11_code")
+    once = lambda name, *key: tables[name].groupBy(*key).agg(F.min("record_no").alias("record_no"))  # noqa: E731  ends meet once, whatever the number of pairs
     for name, key, other in (("D3", "CPM_ID", "D2"), ("D3", "TCMT_ID", "D1"), ("D4", "CPM_ID", "D2"), ("D4", "CHP_ID", "D6"), ("D5", "CPM_ID", "D2"), ("D7", "CHP_ID", "D6")):
-        _refuse(tables[name].join(tables[other], key, "left_anti").select("record_no", key), f"{name} missing endpoint")
+        _refuse(once(name, key).join(tables[other], key, "left_anti").select("record_no", key), f"{name} missing endpoint")
     _refuse(tables["D5"].join(d18.where("ClassKind = 'category'"), "ICD11_code", "left_anti").select("record_no", "ICD11_code"), "D5 missing or non-category ICD endpoint")
     canonical = tables["D1"].select("TCMT_ID", *[F.col(c).alias(f"_{c}") for c in PAIR_COLUMNS])
     differs = F.lit(False)
     for c in PAIR_COLUMNS:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-    _refuse(tables["D3"].join(canonical, "TCMT_ID").where(differs).select("record_no", "TCMT_ID"), "D3 mismatches D1")
+    _refuse(once("D3", "TCMT_ID", *PAIR_COLUMNS).join(canonical, "TCMT_ID").where(differs).select("record_no", "TCMT_ID"), "D3 mismatches D1")
     _refuse(tables["D4"].where(~F.coalesce(in_unit_range(F.col("Dosage_ratio")), F.lit(True))).select("record_no", "Dosage_ratio"), "D4 ratio out of range")
 
 
@@ -100,11 +102,12 @@ def drafts(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return d1.unionByName(d2).unionByName(d6).unionByName(d18), excluded
 
 
-def clean(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def clean(tables: dict[str, DataFrame], digits: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, excluded). nodes: node_type, node_name, evidence_refs, aliases, props; edges: node_type, node_name,
     type, target, dosage_ratio, evidence, n (rows that are one edge)."""
-    checked(tables)
+    checked(tables, digits)
     found, excluded = drafts(tables)
+    found = cut(found, "drafts")  # names are folded once
     _refuse(conflicts(found, ["node_type", "ident"]), "a property with several values")
     firsts = found.groupBy("node_type", "ident").agg(F.min_by("name", "ordinal").alias("node_name"))
     lists = found.groupBy("node_type", "ident").agg(
@@ -114,7 +117,7 @@ def clean(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame
     values = found.select("node_type", "ident", F.explode("props").alias("k", "v")).distinct()
     bags = values.groupBy("node_type", "ident").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
     nodes = firsts.join(lists, ["node_type", "ident"]).join(bags, ["node_type", "ident"], "left")
-    at = found.select("source_kind", "source_key", "node_type", "ident").join(firsts, ["node_type", "ident"])
+    at = cut(found.select("source_kind", "source_key", "node_type", "ident").join(firsts, ["node_type", "ident"]), "at")
     end = lambda kind, prefix: at.where(F.col("source_kind") == kind).select(F.col("source_key").alias(f"{prefix}_key"), F.col("node_type").alias(f"{prefix}_type"), F.col("node_name").alias(f"{prefix}_name"))
 
     def edges_of(rows: DataFrame, table: str, source: tuple[str, str], target: tuple[str, Column], type_: Column, ratio: Column) -> DataFrame:
@@ -128,7 +131,7 @@ def clean(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame
     rows = rows.unionByName(edges_of(tables["D4"], "D4", ("CPM", "CPM_ID"), ("CHP", F.col("CHP_ID")), F.lit("组成药材"), F.col("Dosage_ratio")))
     rows = rows.unionByName(edges_of(tables["D5"], "D5", ("CPM", "CPM_ID"), ("ICD11", F.col("ICD11_code")), F.lit("适用于"), none))
     rows = rows.unionByName(edges_of(tables["D7"].join(terms, "Medicinal_properties"), "D7", ("CHP", "CHP_ID"), ("TCMT", F.col("TCMT_ID")), _map(PROPERTY_EDGES, F.col("Class")), none))
-    folded, bad = fold_edges(rows, ["node_type", "node_name", "type", "target"])
+    folded, bad = fold_edges(rows, ["node_type", "node_name", "type", "target"], through=lambda x: cut(x, "edges"))
     _refuse(bad, "edges of one key with other properties")
     edges = folded.select("node_type", "node_name", "type", "target", F.coalesce(F.get_json_object("props_json", "$.dosage_ratio"), none).alias("dosage_ratio"), "evidence", "n")
     return nodes.drop("ident"), edges, excluded

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import terminology as T
@@ -14,8 +14,19 @@ GROUPS = ("传统医学疾病", "传统医学证候", "治则", "治法", "其
 CLASSES = ("Medicinal flavor", "Therapeutic nature", "Meridian tropism")
 
 
+#: Identifiers are as wide as keys can get, since five digits are not enough beyond sf0.4; nations are numbered above all keys.
+DIGITS, NATIONS, FIRST_NATION = 18, 9 * 10**17, 90000
+
+
 def _id(kind: str, key: str, shift: int = 0):
-    return F.concat(F.lit(kind), F.lpad((F.col(key) + shift).cast("string"), 5, "0"))
+    return F.concat(F.lit(kind), F.lpad((F.col(key).cast("long") + shift).cast("string"), DIGITS, "0"))
+
+
+def _shown(identifier: Column) -> Column:
+    """An identifier as the source writes it: five digits."""
+    n = F.regexp_extract(identifier, f"^[A-Z]+([0-9]{{{DIGITS}}})$", 1).try_cast("long")
+    number = F.when(n >= NATIONS, n - NATIONS + FIRST_NATION).otherwise(n).cast("string")
+    return F.when(n.isNull(), identifier).otherwise(F.concat(F.regexp_extract(identifier, "^[A-Z]+", 0), F.lpad(number, 5, "0")))
 
 
 def terminology_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -25,15 +36,15 @@ def terminology_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     group = F.element_at(F.array(*[lit(g) for g in GROUPS]), (F.col("p_size") % 5 + 1).cast("int"))
     text = lambda **c: [v.cast("string").alias(k) for k, v in c.items()]
     d1 = part.select(*text(record_no=F.col("p_partkey"), TCMT_ID=_id("TCMT", "p_partkey"), Chinese_group=group, English_group=none, Chinese_term=F.concat_ws(" ", "p_name", "p_partkey"), Pinyin_term=none, English_term=none, Chinese_synonyms=F.concat("p_brand", lit("|别名"), "p_partkey"), Synonyms=none, English_definition_description=F.col("p_type")))
-    terms = nation.select(*text(record_no=F.col("n_nationkey") + 90000, TCMT_ID=_id("TCMT", "n_nationkey", 90000), Chinese_group=lit("药性"), English_group=none, Chinese_term=F.concat(lit("性"), "n_name"), Pinyin_term=none, English_term=F.col("n_name"), Chinese_synonyms=none, Synonyms=none, English_definition_description=none))
+    terms = nation.select(*text(record_no=F.col("n_nationkey") + FIRST_NATION, TCMT_ID=_id("TCMT", "n_nationkey", NATIONS), Chinese_group=lit("药性"), English_group=none, Chinese_term=F.concat(lit("性"), "n_name"), Pinyin_term=none, English_term=F.col("n_name"), Chinese_synonyms=none, Synonyms=none, English_definition_description=none))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("record_no", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"))
     d3 = lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("TCMT", "l_partkey").alias("TCMT_ID")).join(d1.select("TCMT_ID", *T.PAIR_COLUMNS, "Synonyms"), "TCMT_ID")
     class_ = F.element_at(F.array(*[lit(c) for c in CLASSES]), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return {
         "D1": d1.unionByName(terms),
         "D2": customer.select(*text(record_no=F.col("c_custkey"), CPM_ID=_id("CPM", "c_custkey"), Chinese_patent_medicine=F.col("c_name"), Routes_of_administration=F.col("c_mktsegment"))),
-        "D3": d3,
-        "D4": lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("CHP", "l_suppkey").alias("CHP_ID"), lit("0.5").alias("Dosage_ratio")),
+        "D3": cut(d3, "D3"),
+        "D4": cut(lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("CHP", "l_suppkey").alias("CHP_ID"), lit("0.5").alias("Dosage_ratio")), "D4"),
         "D5": customer.select(*text(record_no=F.col("c_custkey"), CPM_ID=_id("CPM", "c_custkey"), ICD11_code=F.concat(lit("A"), "c_nationkey"))),
         "D6": supplier.select(*text(record_no=F.col("s_suppkey"), CHP_ID=_id("CHP", "s_suppkey"), Chinese_herbal_pieces=F.col("s_name"), Chinese_synonyms=none, English_term=none, Sources=lit("Viridiplantae"))),
         "D7": supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(*text(record_no=F.col("s_suppkey"), CHP_ID=_id("CHP", "s_suppkey"), Medicinal_properties=F.col("n_name"), Class=class_)),
@@ -56,14 +67,14 @@ e AS (SELECT node_type, node_name, type, target, min(dosage_ratio) AS dosage_rat
 
 @query(f"WITH {NODE_SQL} SELECT * FROM n")
 def terminology_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T.clean(terminology_tables(spark, sf_dir))[0]
+    n = T.clean(terminology_tables(spark, sf_dir), DIGITS)[0]
     key = F.coalesce(*[F.col("props")[k] for k in ("tcmt_id", "cpm_id", "chp_id", "icd11_code")])
-    return n.select("node_type", "node_name", F.array_join("evidence_refs", "|").alias("refs"), F.array_join("aliases", "|").alias("aliases"), key.alias("stable_id"))
+    return n.select("node_type", "node_name", F.array_join("evidence_refs", "|").alias("refs"), F.array_join("aliases", "|").alias("aliases"), _shown(key).alias("stable_id"))
 
 
 @query(f"WITH {EDGE_SQL} SELECT * FROM e")
 def terminology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.clean(terminology_tables(spark, sf_dir))[1]
+    return T.clean(terminology_tables(spark, sf_dir), DIGITS)[1]
 
 
 @query(f"""WITH {NODE_SQL}, {EDGE_SQL}, x AS (SELECT 'D1_group:其他' AS what FROM part WHERE p_size % 5 = 4 UNION ALL SELECT 'D1_group:药性' FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
@@ -73,8 +84,8 @@ SELECT 'excluded' AS section, what, count(*) AS n FROM x GROUP BY what UNION ALL
   UNION ALL SELECT 'rows', 'D5', count(*) FROM customer UNION ALL SELECT 'rows', 'D6', count(*) FROM supplier UNION ALL SELECT 'rows', 'D7', count(*) FROM supplier UNION ALL SELECT 'rows', 'D18', count(*) FROM nation""")
 def terminology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = terminology_tables(spark, sf_dir)
-    n, e, x = T.clean(tables)
-    return T.report(tables, cut(n, "nodes"), cut(e, "edges"), x)
+    n, e, x = T.clean(tables, DIGITS)
+    return T.report(tables, cut(n, "nodes"), e, x)
 
 
 def _database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
