@@ -147,7 +147,7 @@ def _text_props(table: str, taken: list[tuple[str, Column]]) -> Column:
 def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """nodes (node_type, node_name, aliases, lists, props), evidence (node_type, node_name, ref), edges (node_type, node_name,
     type, target, dosage, ref: the first, n), set_aside (what, ref, reason), and what the report counts."""
-    relations = tables["relations"].select("row_no", *COLUMNS["relations"])
+    relations = cut(tables["relations"].select("row_no", *COLUMNS["relations"]), "relations")
     rows = {t: cut(read(tables[t], t), t) for t in FIELDS}  # JSON is parsed and names are folded once
     if bad := faults(rows, relations).orderBy("table", "row_no", "fault").limit(5).collect():
         raise BadInput("; ".join(f"{r.table}:{r.row_no}: {r.fault}" for r in bad))
@@ -189,12 +189,12 @@ def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     shape = F.concat_ws("->", "source_type", "target_type", "edge_type")
     type_ = F.try_element_at(F.create_map(*[F.lit(x) for k, v in SHAPES.items() if v for x in ("->".join(k), v)]), shape)
     whole = F.col("source_name").isNotNull() & F.col("target_name").isNotNull()
-    told = told.withColumn("type", type_).withColumn("whole", whole)
+    told = cut(told.withColumn("type", type_).withColumn("whole", whole), "told")  # names are folded and ends are found once
     meant = told.where(whole & F.col("type").isNotNull())
     dose = F.when(F.col("type") == SHAPES["formula", "herb", "contains"], nfc_strip(F.coalesce("dosage", F.lit("")))).otherwise("")
     edges.append(meant.select(F.col("source_node_type").alias("node_type"), F.col("source_name").alias("node_name"), "type", F.col("target_name").alias("target"), dose.alias("dosage"), "ref", F.struct("row_no", F.lit(0).alias("p"), F.lit(0).alias("i")).alias("at")))
     evidence.append(meant.select(F.col("source_node_type").alias("node_type"), F.col("source_name").alias("node_name"), "ref"))
-    folded = _union(edges).groupBy(*node, "type", "target").agg(F.min("dosage").alias("dosage"), F.max("dosage").alias("_other"), F.min_by("ref", "at").alias("ref"), F.count(F.lit(1)).alias("n"))
+    folded = cut(_union(edges).groupBy(*node, "type", "target").agg(F.min("dosage").alias("dosage"), F.max("dosage").alias("_other"), F.min_by("ref", "at").alias("ref"), F.count(F.lit(1)).alias("n")), "edges")
     if bad := folded.where(F.col("dosage") != F.col("_other")).limit(5).collect():
         raise BadInput(f"conflicting edge properties: {[(r.node_name, r.type, r.target, r.dosage, r['_other']) for r in bad]}")
 
