@@ -79,6 +79,6 @@ HERB_LINES = ", ".join(f"('{r}', {n})" for r, n in {"include": 1, "another name"
   UNION ALL SELECT 'nodes', node_type, count(*) FROM n GROUP BY node_type UNION ALL SELECT 'edges', type, count(*) FROM e GROUP BY type UNION ALL SELECT 'dosed', type, count(*) FROM e WHERE dosage <> '' GROUP BY type
   UNION ALL SELECT 'repeated', type, (sum(n) - count(*))::BIGINT FROM e GROUP BY type HAVING sum(n) > count(*)""")
 def prescription_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    herbs, formulas = triples(spark, sf_dir)
+    herbs, formulas = (cut(x, "triples") for x in triples(spark, sf_dir))
     n, e = P.clean(herbs, formulas)
     return P.report(herbs, formulas, cut(n, "nodes"), cut(e, "edges"))
