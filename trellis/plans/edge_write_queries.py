@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edge_writes as E
-from ..shared import shared_dir
+from ..shared import cut, shared_dir
 from .registry import query
 from .views import table
 
@@ -49,7 +49,7 @@ SELECT name, rel, target_label, target_name, scope, max(CASE WHEN nth = 1 THEN l
 FROM o GROUP BY 1, 2, 3, 4, 5""")
 def edge_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads, the first of them twice: the table is as after one of each."""
-    edges = resolved(spark, sf_dir)
+    edges = cut(resolved(spark, sf_dir), "resolved")  # both loads and their counts read it
     store = E.EdgeTable(spark, f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}/edges")
     first = edges.where("CAST(unit_id AS LONG) % 10 < 6")
     told = store.load("first", first)
@@ -65,7 +65,7 @@ SELECT 'first' AS load, (SELECT count(*) FROM g WHERE first_load) AS n_rows, cou
 UNION ALL SELECT 'second', (SELECT count(*) FROM g WHERE NOT first_load), count_if(b AND NOT a)::BIGINT, count_if(a AND b)::BIGINT, (SELECT n FROM d WHERE NOT first_load) FROM k""")
 def edge_load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each load says it did."""
-    edges = resolved(spark, sf_dir)
+    edges = cut(resolved(spark, sf_dir), "resolved")  # both loads and their counts read it
     store = E.EdgeTable(spark, f"{shared_dir(spark)}/trellis/{uuid.uuid4().hex}/edges")
     told = {name: store.load(name, edges.where(part)) for name, part in (("first", "CAST(unit_id AS LONG) % 10 < 6"), ("second", "CAST(unit_id AS LONG) % 10 >= 6"))}
     return spark.createDataFrame([(n, t["rows"], t["created"], t["updated"], t["dangling"]) for n, t in told.items()], "load string, n_rows long, created long, updated long, dangling long")
