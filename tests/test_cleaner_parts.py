@@ -64,3 +64,32 @@ def test_import_plan(spark):
     }
     with pytest.raises(BadInput, match="prompt_hash"):
         importing.prepared(spark.createDataFrame(rows, columns), {}, [])
+
+
+@pytest.mark.parametrize(
+    ("module", "name", "query", "most"),
+    [("prescription_queries", "lineitem", "prescription_edges", 1), ("compendium_queries", "lineitem", "compendium_set_aside", 1), ("edge_write_queries", "lineitem", "edge_load_counts", 2), ("edge_write_queries", "lineitem", "edge_loads", 2), ("cleaner_queries", "part", "database_nodes", 1)],
+)
+def test_the_source_is_taken_apart_once(spark, monkeypatch, module, name, query, most):
+    """How often jobs of a query and its result read a source's table, as plans of written and collected tables and of the result tell."""
+    import importlib
+
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    scans, parquet, count = [], DataFrameWriter.parquet, lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_partkey#" if name == "lineitem" else "p_partkey#") > 0
+
+    def written(self, path, *args, **kwargs):
+        scans.append(count(self._df))
+        return parquet(self, path, *args, **kwargs)
+
+    collect = DataFrame.collect
+
+    def collected(self):
+        scans.append(count(self))
+        return collect(self)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", written)
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    result = getattr(importlib.import_module(f"trellis.plans.{module}"), query)(spark, "/root/testdata/sf0.001")
+    assert sum(scans) <= most and not count(result)

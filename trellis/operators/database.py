@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.bags import is_empty
 from ..functions.text import canonical_name, formula_warnings, strip_ws
 from ..functions.vocabulary import WHOLE_NAMES
+from ..shared import cut
 from ..sources.readers import BadInput
 
 
@@ -62,7 +63,7 @@ def entity_rows(tables: dict[str, DataFrame], entities: dict[str, Entity]) -> Da
 def clean(tables: dict[str, DataFrame], entities: dict[str, Entity], relations: dict[str, Relation]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, routed). nodes: table, node_type, node_name, props, ids; edges: table, rowid, node_type, node_name, type,
     target, dosage; routed: (route, n) of rows set aside or kept."""
-    rows = entity_rows(tables, entities)
+    rows = cut(entity_rows(tables, entities), "entities")  # names are cleaned once
     if bad := [tuple(r) for r in rows.where(is_empty(F.col("name"))).select("table", "id").limit(5).collect()]:
         raise BadInput(f"empty name: {bad}")
     warned, sound = rows.where(F.size("warnings") > 0), rows.where(F.size("warnings") == 0)
