@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import links as L
 from ..operators.graph import EdgeFilter, NodeFilter
 from .registry import query
-from .views import GRAPH_SQL, edges, nodes
+from .views import GRAPH_SQL, edges, links, node_tables, nodes
 
 
 def _props_text(df: DataFrame) -> DataFrame:
@@ -195,10 +196,10 @@ def variant_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRAPH_SQL} SELECT e.edge_id FROM edges e SEMI JOIN (SELECT id FROM nodes WHERE label IN ('customer', 'order') AND status <> 'rejected') a ON a.id = e.src_id SEMI JOIN (SELECT id FROM nodes WHERE status = 'verified') b ON b.id = e.dst_id")
 def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referential filter: both ends must be among the nodes shown."""
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    a = n.where(F.col("label").isin("customer", "order") & (F.col("status") != "rejected")).select(F.col("id").alias("src_id"))
-    b = n.where(F.col("status") == "verified").select(F.col("id").alias("dst_id"))
-    return e.join(a, "src_id", "left_semi").join(b, "dst_id", "left_semi").select("edge_id")
+    n = node_tables(spark, sf_dir)
+    a = {x: n[x].where(F.col("status") != "rejected") for x in ("customer", "order")}
+    b = {x: rows.where(F.col("status") == "verified") for x, rows in n.items()}
+    return L.edge_table(L.between(links(spark, sf_dir), a, b)).select("edge_id")
 
 
 @query(f"""WITH {GRAPH_SQL}, x AS (SELECT DISTINCT k FROM props WHERE label = 'customer'), y AS (SELECT DISTINCT k FROM props WHERE label = 'supplier'), z AS (SELECT DISTINCT k FROM props WHERE label = 'part')

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.links import Link, edge_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,32 +24,32 @@ def _money(c: str) -> Column:
 
 def _nodes(df: DataFrame, label: str, key: str, name: Column, status: Column | str = "verified", source: Column | None = None, **props: Column) -> DataFrame:
     bag = F.map_filter(F.create_map(*[x for k, v in props.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()) if props else F.create_map().cast("map<string,string>")
-    return df.select(F.concat(F.lit(label + ":"), F.col(key).cast("string")).alias("id"), F.lit(label).alias("label"), name.alias("name"), (F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(None).cast("string") if source is None else source).alias("source"), bag.alias("props"))
+    return df.select(F.col(key).alias("key"), F.concat(F.lit(label + ":"), F.col(key).cast("string")).alias("id"), F.lit(label).alias("label"), name.alias("name"), (F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(None).cast("string") if source is None else source).alias("source"), bag.alias("props"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The nodes by label: their keys within it beside the columns of ``nodes``."""
     t = lambda name: table(spark, sf_dir, name)
-    parts = [
-        _nodes(t("region"), "region", "r_regionkey", F.col("r_name")),
-        _nodes(t("nation"), "nation", "n_nationkey", F.col("n_name"), regionkey=F.col("n_regionkey")),
-        _nodes(t("customer"), "customer", "c_custkey", F.col("c_name"), source=F.col("c_mktsegment"), acctbal=_money("c_acctbal"), segment=F.col("c_mktsegment"), nationkey=F.col("c_nationkey")),
-        _nodes(t("supplier"), "supplier", "s_suppkey", F.col("s_name"), acctbal=_money("s_acctbal"), nationkey=F.col("s_nationkey")),
-        _nodes(t("part"), "part", "p_partkey", F.col("p_name"), source=F.col("p_brand"), brand=F.col("p_brand"), type=F.col("p_type"), size=F.col("p_size")),
-        _nodes(t("orders"), "order", "o_orderkey", F.concat(F.lit("Order#"), F.col("o_orderkey")), _status(F.col("o_orderstatus")), F.col("o_orderpriority"), priority=F.col("o_orderpriority"), day=F.date_format("o_orderdate", "yyyy-MM-dd")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return {
+        "region": _nodes(t("region"), "region", "r_regionkey", F.col("r_name")),
+        "nation": _nodes(t("nation"), "nation", "n_nationkey", F.col("n_name"), regionkey=F.col("n_regionkey")),
+        "customer": _nodes(t("customer"), "customer", "c_custkey", F.col("c_name"), source=F.col("c_mktsegment"), acctbal=_money("c_acctbal"), segment=F.col("c_mktsegment"), nationkey=F.col("c_nationkey")),
+        "supplier": _nodes(t("supplier"), "supplier", "s_suppkey", F.col("s_name"), acctbal=_money("s_acctbal"), nationkey=F.col("s_nationkey")),
+        "part": _nodes(t("part"), "part", "p_partkey", F.col("p_name"), source=F.col("p_brand"), brand=F.col("p_brand"), type=F.col("p_type"), size=F.col("p_size")),
+        "order": _nodes(t("orders"), "order", "o_orderkey", F.concat(F.lit("Order#"), F.col("o_orderkey")), _status(F.col("o_orderstatus")), F.col("o_orderpriority"), priority=F.col("o_orderpriority"), day=F.date_format("o_orderdate", "yyyy-MM-dd")),
+    }
 
 
-def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> DataFrame:
-    """``only``: relation types to build, so that unused branches are never read."""
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.drop("key") for p in node_tables(spark, sf_dir).values()])
+
+
+def links(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> list[Link]:
+    """The edges by relation and labels, ends as keys. ``only``: relation types to build, so that unused branches are never read."""
     t = lambda name: table(spark, sf_dir, name)
 
-    def make(df: DataFrame, src: str, src_key: str, rel: str, dst: str, dst_key: str, status: Column, scope: Column) -> DataFrame:
-        a, b = (F.concat(F.lit(x + ":"), F.col(k).cast("string")) for x, k in ((src, src_key), (dst, dst_key)))
-        return df.select(F.concat_ws("|", a, F.lit(rel), b).alias("edge_id"), a.alias("src_id"), F.lit(rel).alias("rel_type"), b.alias("dst_id"), status.alias("status"), scope.alias("scope"))
+    def make(df: DataFrame, src: str, src_key: str, rel: str, dst: str, dst_key: str, status: Column, scope: Column) -> Link:
+        return Link(src, rel, dst, df.select(F.col(src_key).alias("src_key"), F.col(dst_key).alias("dst_key"), status.alias("status"), scope.alias("scope")))
 
     fixed, base = F.lit("verified"), F.lit("base")
     lines = lambda *k: t("lineitem").groupBy(*k).agg(F.max(F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("st"), F.min(F.year("l_shipdate")).alias("y"))
@@ -56,11 +60,12 @@ def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> DataF
         "contains": lambda: [make(lines("l_orderkey", "l_partkey"), "order", "l_orderkey", "contains", "part", "l_partkey", F.when(F.col("st") == 2, "rejected").when(F.col("st") == 1, "verified").otherwise("pending"), F.col("y").cast("string"))],
         "supplied_by": lambda: [make(t("lineitem").select("l_partkey", "l_suppkey").distinct(), "part", "l_partkey", "supplied_by", "supplier", "l_suppkey", fixed, F.lit("lineitem"))],
     }
-    out = None
-    for rel in only or build:
-        for part in build[rel]():
-            out = part if out is None else out.unionByName(part)
-    return out
+    return [link for rel in only or build for link in build[rel]()]
+
+
+def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """All links in one table, ends as ids."""
+    return edge_table(links(spark, sf_dir, only))
 
 
 STATUS_SQL = "CASE {0} WHEN 'O' THEN 'pending' WHEN 'F' THEN 'verified' ELSE 'rejected' END"
