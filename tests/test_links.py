@@ -57,3 +57,7 @@ def check(spark, odd, name):
 
 def test_edges_between(spark, odd):
     check(spark, odd, "edges_between")
+
+
+def test_bulk_edge_groups(spark, odd):
+    check(spark, odd, "bulk_edge_groups")

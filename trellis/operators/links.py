@@ -51,3 +51,17 @@ def between(links: list[Link], sources: dict[str, DataFrame], targets: dict[str,
     """The edges with both ends among the nodes given; a label that is not given has none."""
     found = [x for x in links if x.src in sources and x.dst in targets]
     return [replace(x, rows=x.rows.join(_at(sources[x.src], "src"), "src_key", "left_semi").join(_at(targets[x.dst], "dst"), "dst_key", "left_semi")) for x in found]
+
+
+def link_counts(links: list[Link], nodes: dict[str, DataFrame]) -> DataFrame:
+    """label, rel_type, target_label, n (edges whose ends are nodes), n_sources.
+
+    Edges are counted by source before their source is looked up, so that nothing is sorted out of repeats later.
+    """
+    parts = []
+    for x in links:
+        held = x.rows.join(_at(nodes[x.dst], "dst"), "dst_key").groupBy("src_key").agg(F.count(F.lit(1)).alias("n"))
+        held = held.join(_at(nodes[x.src], "src"), "src_key").groupBy("src_key").agg(F.sum("n").alias("n"))
+        total = held.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources")).where("n_sources > 0")
+        parts.append(total.select(F.lit(x.src).alias("label"), F.lit(x.rel).alias("rel_type"), F.lit(x.dst).alias("target_label"), "n", "n_sources"))
+    return reduce(DataFrame.unionByName, parts)

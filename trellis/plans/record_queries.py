@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import bags
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import links as L
 from ..operators import records as R
 from .registry import query
-from .views import GRAPH_SQL, edges, nodes, table
+from .views import GRAPH_SQL, edges, links, node_tables, nodes, table
 
 # Parts seen as entity drafts: a name is the type's last word and the brand, the stable id the size.
 DRAFT_SQL = """d AS (SELECT p_partkey AS ordinal, 'herb' AS node_type, split_part(p_type, ' ', -1) || ' ' || p_brand AS node_name, p_size::VARCHAR AS stable_id,
@@ -172,9 +173,7 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRAPH_SQL} SELECT label, rel_type, l2 AS target_label, count(*) AS n, count(DISTINCT e.src_id) AS n_sources FROM edges e JOIN (SELECT id, label FROM nodes) a ON a.id = e.src_id JOIN (SELECT id, label AS l2 FROM nodes) b ON b.id = e.dst_id GROUP BY ALL")
 def bulk_edge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bulk file for each (source label, relation, target label)."""
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    a, b = n.select(F.col("id").alias("src_id"), "label"), n.select(F.col("id").alias("dst_id"), F.col("label").alias("target_label"))
-    return e.join(a, "src_id").join(b, "dst_id").groupBy("label", "rel_type", "target_label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_id").alias("n_sources"))
+    return L.link_counts(links(spark, sf_dir), node_tables(spark, sf_dir))
 
 
 @query(f"""WITH {GRAPH_SQL}, s AS (SELECT src_id, string_agg(replace(scope, ';', ' '), ';' ORDER BY scope) AS scopes FROM (SELECT DISTINCT src_id, scope FROM edges) GROUP BY src_id)
