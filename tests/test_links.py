@@ -61,3 +61,7 @@ def test_edges_between(spark, odd):
 
 def test_bulk_edge_groups(spark, odd):
     check(spark, odd, "bulk_edge_groups")
+
+
+def test_lineage_completeness(spark, odd):
+    check(spark, odd, "lineage_completeness")

@@ -253,12 +253,13 @@ def source_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINEAGE_SQL} SELECT n.id, count(DISTINCT ev.evidence) AS n_evidence, count(ev.evidence) > 0 AS has_evidence, count(so.source) > 0 AS has_source FROM nodes n LEFT JOIN ev ON ev.entity = n.id LEFT JOIN so USING (evidence) WHERE n.label = 'part' GROUP BY n.id""")
 def lineage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, ("contains", "placed"))
-    ev = e.where("rel_type = 'contains'").select(F.col("src_id").alias("evidence"), F.col("dst_id").alias("id"))
-    so = e.where("rel_type = 'placed'").select(F.col("dst_id").alias("evidence"), F.col("src_id").alias("source"))
-    per = ev.join(so, "evidence", "left").groupBy("id").agg(F.count_distinct("evidence").alias("n_evidence"), F.count("source").alias("s"))
-    n = nodes(spark, sf_dir).where("label = 'part'").select("id").join(per, "id", "left").na.fill(0)
-    return n.select("id", "n_evidence", (F.col("n_evidence") > 0).alias("has_evidence"), (F.col("s") > 0).alias("has_source"))
+    """Each part's evidence (the orders that hold it) and whether any has a source (a customer); a pair of part and order is one edge."""
+    e = {x.rel: x.rows for x in links(spark, sf_dir, ("contains", "placed"))}
+    sourced = e["placed"].where("src_key IS NOT NULL").select(F.col("dst_key").alias("evidence")).distinct().withColumn("sourced", F.lit(True))
+    ev = e["contains"].select(F.col("src_key").alias("evidence"), F.col("dst_key").alias("key"))
+    per = ev.join(sourced, "evidence", "left").groupBy("key").agg(F.count("evidence").alias("n_evidence"), F.count("sourced").alias("n_sourced"))
+    parts = node_tables(spark, sf_dir)["part"].select("key").distinct().join(per, "key", "left").na.fill(0, ["n_evidence", "n_sourced"])
+    return parts.select(L.node_id("part", "key").alias("id"), "n_evidence", (F.col("n_evidence") > 0).alias("has_evidence"), (F.col("n_sourced") > 0).alias("has_source"))
 
 
 @query("""SELECT 'part:' || l_partkey AS entity, 'order:' || l_orderkey AS evidence, coalesce('customer:' || o_custkey, p_brand, '') AS origin FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey""")
