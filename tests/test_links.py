@@ -28,7 +28,8 @@ def odd(tmp_path_factory):
 
 def exchanged_text(df):
     """Text columns that any exchange of the plan carries, broadcasts being off."""
-    found, todo = [], [df._jdf.queryExecution().executedPlan().initialPlan()]
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
     while todo:
         node = todo.pop()
         if node.nodeName() == "Exchange":
@@ -65,3 +66,11 @@ def test_bulk_edge_groups(spark, odd):
 
 def test_lineage_completeness(spark, odd):
     check(spark, odd, "lineage_completeness")
+
+
+def test_collapsed_graph(spark, odd):
+    check(spark, odd, "collapsed_graph")
+
+
+def test_expanded_below(spark, odd):
+    check(spark, odd, "expanded_below")

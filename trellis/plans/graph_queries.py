@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,11 +214,9 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named("both", x.intersect(y)).unionByName(named("only_customer", x.subtract(y))).unionByName(named("any", x.unionByName(z).distinct()))
 
 
-def _expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _expansions(spark: SparkSession, sf_dir: str) -> list[L.Link]:
     """What opening a region brings: its nations, their customers and suppliers, the customers' orders."""
-    e = edges(spark, sf_dir, ("located_in", "from", "placed"))
-    down = e.where("rel_type <> 'placed'").select(F.col("dst_id").alias("parent"), F.col("src_id").alias("child"))
-    return down.unionByName(e.where("rel_type = 'placed'").select(F.col("src_id").alias("parent"), F.col("dst_id").alias("child")))
+    return [x if x.rel == "placed" else x.turned() for x in links(spark, sf_dir, ("located_in", "from", "placed"))]
 
 
 BELOW_SQL = """x AS (SELECT dst_id AS parent, src_id AS child FROM edges WHERE rel_type IN ('located_in', 'from') UNION ALL SELECT src_id, dst_id FROM edges WHERE rel_type = 'placed'),
@@ -225,16 +225,20 @@ below AS (SELECT 'region:1' AS id, 0 AS round UNION SELECT child, round + 1 FROM
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {BELOW_SQL} SELECT id, round FROM below WHERE round > 0")
 def expanded_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.expanded_below(_expansions(spark, sf_dir), "region:1")
+    found = L.expanded_below(_expansions(spark, sf_dir), "region", 1)
+    rows = [rows.select(L.node_id(label, "key").alias("id"), "round") for label, rows in found.items()]
+    return reduce(DataFrame.unionByName, rows).where("round > 0")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {BELOW_SQL}, gone AS (SELECT id FROM below WHERE round > 0) SELECT 'node' AS kind, label AS what, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM gone) GROUP BY label
 UNION ALL SELECT 'edge', rel_type, count(*) FROM edges WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY rel_type UNION ALL SELECT 'expansion', split_part(parent, ':', 1), count(*) FROM x WHERE parent NOT IN (SELECT id FROM below) GROUP BY 2""")
 def collapsed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the graph once a region is closed."""
-    n, e, x = G.collapse(nodes(spark, sf_dir), edges(spark, sf_dir), _expansions(spark, sf_dir), "region:1")
-    part = lambda df, kind, what: df.groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "what", "n")
-    return part(n, "node", F.col("label")).unionByName(part(e, "edge", F.col("rel_type"))).unionByName(part(x, "expansion", F.substring_index("parent", ":", 1)))
+    n, e, x = L.collapse(node_tables(spark, sf_dir), links(spark, sf_dir), _expansions(spark, sf_dir), "region", 1)
+    by = lambda some, what: {k: [y.rows for y in some if what(y) == k] for k in dict.fromkeys(map(what, some))}
+    part = lambda parts, kind: L.totals(parts).select(F.lit(kind).alias("kind"), "what", "n")
+    nodes_left = part({label: [rows] for label, rows in n.items()}, "node")
+    return nodes_left.unionByName(part(by(e, lambda y: y.rel), "edge")).unionByName(part(by(x, lambda y: y.src), "expansion"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT DISTINCT CASE WHEN src_id = 'nation:3' THEN dst_id ELSE src_id END AS id FROM edges WHERE 'nation:3' IN (src_id, dst_id)")
