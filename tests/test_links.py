@@ -74,3 +74,7 @@ def test_collapsed_graph(spark, odd):
 
 def test_expanded_below(spark, odd):
     check(spark, odd, "expanded_below")
+
+
+def test_reset_scope(spark, odd):
+    check(spark, odd, "reset_scope")

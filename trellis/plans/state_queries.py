@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import links as L
 from ..operators import state as T
 from .registry import query
-from .views import GRAPH_SQL, edges, nodes, table
+from .views import GRAPH_SQL, links, node_tables, nodes, table
 
 
 @query("""SELECT event_type, user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -82,9 +83,9 @@ def verify_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL}, gone AS (SELECT * FROM edges WHERE scope = '1-URGENT'), kept AS (SELECT * FROM edges WHERE scope <> '1-URGENT'), x AS (SELECT src_id AS id FROM gone UNION SELECT dst_id FROM gone), y AS (SELECT src_id AS id FROM kept UNION SELECT dst_id FROM kept)
 SELECT 'nodes' AS kind, label AS what, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM x EXCEPT SELECT id FROM y) GROUP BY label UNION ALL SELECT 'edges', rel_type, count(*) FROM kept GROUP BY rel_type""")
 def reset_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = T.reset_scope(nodes(spark, sf_dir), edges(spark, sf_dir), F.col("scope") == "1-URGENT")
-    a = n.groupBy(F.col("label").alias("what")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("nodes"))
-    return a.unionByName(e.groupBy(F.col("rel_type").alias("what")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("edges")))
+    n, e = L.reset_scope(node_tables(spark, sf_dir), links(spark, sf_dir), F.col("scope") == "1-URGENT")
+    a = L.totals({label: [rows] for label, rows in n.items()}).withColumn("kind", F.lit("nodes"))
+    return a.unionByName(L.totals({rel: [x.rows for x in e if x.rel == rel] for rel in dict.fromkeys(x.rel for x in e)}).withColumn("kind", F.lit("edges")))
 
 
 @query("""SELECT event_id, CASE WHEN value / 100 >= 0.7 THEN 'yes' WHEN value / 100 <= 0.3 THEN 'no' WHEN value IS NOT NULL THEN 'unsure' ELSE 'missing' END AS verdict FROM events""")
