@@ -17,6 +17,8 @@ from .vocabulary import BRANDS
 
 # White space as str.strip() sees it, beyond what (?U)\s covers in Java.
 WS = r"[\s\x1c-\x1f\x85]"
+# The same, one by one.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Phrases that character recognition got wrong, with their corrections, applied in this order.
 PHRASE_FIXES = [("置于燥", "置干燥"), ("置千燥", "置干燥"), ("置遁风", "置通风"), ("干燥赴", "干燥处"), ("鲜晶", "鲜品")]
 # ASCII punctuation and its Chinese form in sentences.
@@ -36,7 +38,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 def strip_ws(c: Column) -> Column:
     """Python's strip(): every Unicode space, not U+0020 alone."""
-    return F.regexp_replace(F.regexp_replace(c, rf"(?U)^{WS}+", ""), rf"(?U){WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(T.StringType())

@@ -68,9 +68,9 @@ def aliases_of(*texts: Column) -> Column:
 
 def endpoint(raw: Column) -> Column:
     """kind and name of "kind<tab>name"; null unless there is one tab between two parts that are not blank."""
-    parts = F.transform(F.split(raw, "\t"), strip_ws)
-    good = (F.size(parts) == 2) & (F.get(parts, 0) != "") & (F.get(parts, 1) != "")
-    return F.when(good, F.struct(F.get(parts, 0).alias("kind"), F.get(parts, 1).alias("name")))
+    kind, name = (strip_ws(F.substring_index(raw, "\t", n)) for n in (1, -1))
+    good = (F.length(raw) - F.length(F.replace(raw, F.lit("\t"), F.lit(""))) == 1) & (kind != "") & (name != "")
+    return F.when(good, F.struct(kind.alias("kind"), name.alias("name")))
 
 
 def trailing_tag(name: Column) -> Column:

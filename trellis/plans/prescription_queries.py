@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import prescriptions as P
-from ..shared import cut
 from .registry import query
 from .views import table
 
@@ -25,20 +24,21 @@ def triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         row(at + 7, herb, "five flavors", kind("五味", F.lit("q"), (F.col("s_suppkey") % 5).cast("string"))), row(at + 8, herb, "channel tropism", kind("归经", F.lit("c"), (F.col("s_suppkey") % 12).cast("string"))),
         row(at + 9, herb, "from", kind("来源", F.lit("book"), (F.col("s_suppkey") % 7).cast("string"))),
     )).alias("r")).select("r.*")
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    recipe, name, at = F.concat("c_name", F.lit("_"), F.col("o_orderkey").cast("string")), kind("方名", "c_name"), F.col("o_orderkey") * 1000
-    facts = o.select(F.explode(F.concat(
-        F.when(F.col("o_orderkey") % 3 != 0, F.array(row(at, name, "prescription type", kind("处方", recipe)), row(at + 1, name, "another name", kind("别名", "o_orderpriority")), row(at + 2, name, "from", kind("来源", "o_orderstatus")))).otherwise(F.array()),
-        F.array(row(at + 3, kind("处方", recipe), "functions", kind("功能主治", "o_orderpriority"))),
-    )).alias("r")).select("r.*")
-    place = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_name")
+    # an order meets its lines as keys, once; the first of them, or none, brings the order's own facts
+    place = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey)")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", place.alias("place"))
-    at = F.col("l_orderkey") * 1000 + 10 + 2 * F.col("place")
-    lines = lines.join(o.select("o_orderkey", recipe.alias("recipe")), F.col("l_orderkey") == F.col("o_orderkey")).join(s.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    made = row(at, kind("处方", "recipe"), "composition", herb)
-    dose = row(at + 1, herb, "dose", kind("剂量", (F.col("s_suppkey") % 9).cast("string"), F.lit("克")))
-    lines = lines.select(F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(made, dose)).otherwise(F.array(made))).alias("r")).select("r.*")
-    return herbs, facts.unionByName(lines)
+    known = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
+    rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    recipe, name, at = F.concat("c_name", F.lit("_"), F.col("o_orderkey").cast("string")), kind("方名", "c_name"), F.col("o_orderkey") * 1000
+    listed = F.array(row(at, name, "prescription type", kind("处方", recipe)), row(at + 1, name, "another name", kind("别名", "o_orderpriority")), row(at + 2, name, "from", kind("来源", "o_orderstatus")))
+    heals = F.array(row(at + 3, kind("处方", recipe), "functions", kind("功能主治", "o_orderpriority")))
+    facts = F.when(F.coalesce("place", F.lit(1)) > 1, F.array()).when(F.col("o_orderkey") % 3 != 0, F.concat(listed, heals)).otherwise(heals)
+    line = at + 10 + 2 * F.col("place")
+    made = row(line, kind("处方", recipe), "composition", herb)
+    dose = row(line + 1, herb, "dose", kind("剂量", (F.col("s_suppkey") % 9).cast("string"), F.lit("克")))
+    said = F.when(F.col("s_suppkey").isNull(), F.array()).when(F.col("s_suppkey") % 2 == 0, F.array(made, dose)).otherwise(F.array(made))
+    return herbs, rows.select(F.explode(F.concat(facts, said)).alias("r")).select("r.*")
 
 
 EDGES = """s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -79,6 +79,4 @@ HERB_LINES = ", ".join(f"('{r}', {n})" for r, n in {"include": 1, "another name"
   UNION ALL SELECT 'nodes', node_type, count(*) FROM n GROUP BY node_type UNION ALL SELECT 'edges', type, count(*) FROM e GROUP BY type UNION ALL SELECT 'dosed', type, count(*) FROM e WHERE dosage <> '' GROUP BY type
   UNION ALL SELECT 'repeated', type, (sum(n) - count(*))::BIGINT FROM e GROUP BY type HAVING sum(n) > count(*)""")
 def prescription_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    herbs, formulas = (cut(x, "triples") for x in triples(spark, sf_dir))
-    n, e = P.clean(herbs, formulas)
-    return P.report(herbs, formulas, cut(n, "nodes"), cut(e, "edges"))
+    return P.clean_report(*triples(spark, sf_dir))
