@@ -2,6 +2,7 @@
 
 import pytest
 
+from trellis.plans import cleaner_queries as C
 from trellis.plans import prescription_queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -37,3 +38,10 @@ def test_prescriptions(spark, no_broadcast, name, most):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     n = rows_moved(spark, lambda: getattr(Q, name)(spark, SF))
     assert n < most * lines
+
+
+@pytest.mark.parametrize(("name", "most"), [("terminology_edges", 8)])
+def test_terminology(spark, no_broadcast, name, most):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    n = rows_moved(spark, lambda: getattr(C, name)(spark, SF))
+    assert n < most * lines

@@ -37,14 +37,17 @@ def terminology_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     text = lambda **c: [v.cast("string").alias(k) for k, v in c.items()]
     d1 = part.select(*text(record_no=F.col("p_partkey"), TCMT_ID=_id("TCMT", "p_partkey"), Chinese_group=group, English_group=none, Chinese_term=F.concat_ws(" ", "p_name", "p_partkey"), Pinyin_term=none, English_term=none, Chinese_synonyms=F.concat("p_brand", lit("|别名"), "p_partkey"), Synonyms=none, English_definition_description=F.col("p_type")))
     terms = nation.select(*text(record_no=F.col("n_nationkey") + FIRST_NATION, TCMT_ID=_id("TCMT", "n_nationkey", NATIONS), Chinese_group=lit("药性"), English_group=none, Chinese_term=F.concat(lit("性"), "n_name"), Pinyin_term=none, English_term=F.col("n_name"), Chinese_synonyms=none, Synonyms=none, English_definition_description=none))
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("record_no", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"))
-    d3 = lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("TCMT", "l_partkey").alias("TCMT_ID")).join(d1.select("TCMT_ID", *T.PAIR_COLUMNS, "Synonyms"), "TCMT_ID")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_no"), "o_custkey", "l_partkey", "l_suppkey")
+    named = part.select("p_partkey", group.alias("Chinese_group"), F.concat_ws(" ", "p_name", "p_partkey").alias("Chinese_term"))
+    lines = cut(lines.join(named, F.col("l_partkey") == F.col("p_partkey"), "left"), "lines").withColumn("record_no", F.col("record_no").cast("string"))  # both kinds of pairs are read from one table of keys
+    d3 = lines.where("p_partkey IS NOT NULL").select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("TCMT", "l_partkey").alias("TCMT_ID"), "Chinese_group", none.alias("English_group"), "Chinese_term", none.alias("Pinyin_term"), none.alias("English_term"), none.alias("Synonyms"))
     class_ = F.element_at(F.array(*[lit(c) for c in CLASSES]), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return {
         "D1": d1.unionByName(terms),
         "D2": customer.select(*text(record_no=F.col("c_custkey"), CPM_ID=_id("CPM", "c_custkey"), Chinese_patent_medicine=F.col("c_name"), Routes_of_administration=F.col("c_mktsegment"))),
-        "D3": cut(d3, "D3"),
-        "D4": cut(lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("CHP", "l_suppkey").alias("CHP_ID"), lit("0.5").alias("Dosage_ratio")), "D4"),
+        "D3": d3,
+        "D4": lines.select("record_no", _id("CPM", "o_custkey").alias("CPM_ID"), _id("CHP", "l_suppkey").alias("CHP_ID"), lit("0.5").alias("Dosage_ratio")),
         "D5": customer.select(*text(record_no=F.col("c_custkey"), CPM_ID=_id("CPM", "c_custkey"), ICD11_code=F.concat(lit("A"), "c_nationkey"))),
         "D6": supplier.select(*text(record_no=F.col("s_suppkey"), CHP_ID=_id("CHP", "s_suppkey"), Chinese_herbal_pieces=F.col("s_name"), Chinese_synonyms=none, English_term=none, Sources=lit("Viridiplantae"))),
         "D7": supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(*text(record_no=F.col("s_suppkey"), CHP_ID=_id("CHP", "s_suppkey"), Medicinal_properties=F.col("n_name"), Class=class_)),
@@ -85,7 +88,7 @@ SELECT 'excluded' AS section, what, count(*) AS n FROM x GROUP BY what UNION ALL
 def terminology_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = terminology_tables(spark, sf_dir)
     n, e, x = T.clean(tables, DIGITS)
-    return T.report(tables, cut(n, "nodes"), e, x)
+    return T.report(tables, n, e, x)
 
 
 def _database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,5 +23,5 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` to the shared folder and rereads it."""
     path = f"{shared_dir(df.sparkSession)}/trellis/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
