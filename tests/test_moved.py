@@ -33,7 +33,7 @@ def rows_moved(spark, run):
     return total() - before
 
 
-@pytest.mark.parametrize(("name", "most"), [("prescription_edges", 10), ("prescription_nodes", 10)])
+@pytest.mark.parametrize(("name", "most"), [("prescription_edges", 10), ("prescription_nodes", 10), ("prescription_report", 10)])
 def test_prescriptions(spark, no_broadcast, name, most):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     n = rows_moved(spark, lambda: getattr(Q, name)(spark, SF))
