@@ -40,7 +40,7 @@ def test_prescriptions(spark, no_broadcast, name, most):
     assert n < most * lines
 
 
-@pytest.mark.parametrize(("name", "most"), [("terminology_edges", 8), ("terminology_nodes", 8)])
+@pytest.mark.parametrize(("name", "most"), [("terminology_edges", 8), ("terminology_nodes", 8), ("terminology_report", 8)])
 def test_terminology(spark, no_broadcast, name, most):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     n = rows_moved(spark, lambda: getattr(C, name)(spark, SF))
